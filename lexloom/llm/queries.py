@@ -9,6 +9,14 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import digests, encode
+
+    return digests(encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
