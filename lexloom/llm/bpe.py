@@ -20,14 +20,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the dictionary that all tasks share, each of FOLD_BYTES bytes at most: a bound on what is broadcast.
-DICTIONARY_WORDS = 120_000
+#: Words of the dictionary that all tasks share, and their bytes at most: a bound on what is broadcast.
+DICTIONARY_WORDS, DICTIONARY_BYTES = 600_000, 48
 #: The fold takes time with the square of a word's length; longer words merge over a heap instead.
 FOLD_BYTES = 400
 #: Buckets of the literal rank map; a power of two.
 BUCKETS = 1 << 15
+#: Stands for "no merge" among ranks.
+NO_RANK = 99_999_999
 #: Words that a task remembers before it begins anew.
 REMEMBERED = 400_000
+#: Words or so of which a task puts the tokens together at once.
+TOKENS_AT_ONCE = 1_000_000
 
 _JAVA_FLAGS = "(?U)"  # White space as Unicode has it, as in the tokenizer's own regular expressions
 
@@ -45,7 +49,6 @@ class RankMap:
     """Ranks of all pairs of tokens that merge, as one literal: buckets of keys a * 2^17 + b, and of their ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.first = [ranks[bytes([i])] for i in range(256)]
         keys: list[list[int]] = [[] for _ in range(BUCKETS)]
         values: list[list[int]] = [[] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
@@ -54,6 +57,9 @@ class RankMap:
                 if a is not None and b is not None:
                     keys[_bucket(a, b)].append(a << 17 | b)
                     values[_bucket(a, b)].append(rank)
+        two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
+        self.first = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
+        self.of_bytes = F.from_json(F.lit(json.dumps(two, separators=(",", ":"))), "array<int>")
         # A foldable from_json turns into a literal when the plan is optimised.
         self.keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<array<bigint>>")
         self.values = F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<array<int>>")
@@ -67,22 +73,32 @@ class RankMap:
 
 def fold_merges(word_bytes, ranks: RankMap):
     """Token ids of a word, given its bytes as an array of ints: each step of the fold merges the leftmost pair of the
-    least rank; a step that finds none leaves the ids as they are."""
-    first = F.from_json(F.lit(json.dumps(ranks.first)), "array<int>")
-    ids = F.transform(word_bytes, lambda b: F.get(first, b))
+    least rank and looks up its two new neighbours; a step that finds no pair leaves the word as it is.
+    t has the tokens, p the rank of each with its right neighbour (NO_RANK: they don't merge)."""
+    none = F.array().cast("array<int>")
+    no = F.lit(NO_RANK)
+    pairs = F.zip_with(word_bytes, F.slice(word_bytes, 2, F.size(word_bytes)), lambda a, b: F.coalesce(F.get(ranks.of_bytes, a * 256 + b), no))
+    start = F.struct(F.transform(word_bytes, lambda b: F.get(ranks.first, b)).alias("t"), pairs.alias("p"))
 
     def step(acc, _):
-        pairs = F.zip_with(acc, F.slice(acc, 2, F.size(acc)), lambda a, b: ranks.rank(a, b))
+        t, p = acc["t"], acc["p"]
 
-        def merged(p):
-            least = F.array_min(p)
-            at = F.array_position(p, least).cast("int")
-            return F.when(least.isNull(), acc).otherwise(F.concat(F.slice(acc, 1, at - 1), F.array(least), F.slice(acc, at + 2, F.size(acc))))
+        def at_place(at):
+            new = F.get(p, at)
+            sides = F.array(F.struct(F.get(t, at - 1).alias("a"), new.alias("b")), F.struct(new.alias("a"), F.get(t, at + 2).alias("b")))
 
-        return F.element_at(F.transform(F.array(pairs), merged), 1)
+            def merged(q):
+                tokens = F.array_compact(F.transform(t, lambda x, i: F.when(i == at, new).when(i != at + 1, x)))
+                beside = F.array_compact(F.transform(p, lambda r, i: F.when(i == at - 1, F.get(q, 0)).when(i == at, F.get(q, 1)).when(i != at + 1, r)))
+                return F.struct(tokens.alias("t"), beside.alias("p"))
 
-    steps = F.when(F.size(word_bytes) > 1, F.sequence(F.lit(2), F.size(word_bytes))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, ids, step)
+            looked_up = F.transform(sides, lambda x: F.coalesce(ranks.rank(x["a"], x["b"]), no))
+            return F.when(new == no, acc).otherwise(F.element_at(F.transform(F.array(looked_up), merged), 1))
+
+        return F.element_at(F.transform(F.array(F.array_position(p, F.array_min(p)).cast("int") - 1), at_place), 1)
+
+    steps = F.when(F.size(word_bytes) > 1, F.sequence(F.lit(2), F.size(word_bytes))).otherwise(none)
+    return F.aggregate(steps, start, step)["t"]
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -106,13 +122,11 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _bytes_of(word: pa.Array) -> list:
-    return [np.frombuffer(w, np.uint8).astype(np.int32) for w in word]
-
-
-def _int_lists(rows: list) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)))
+def _byte_lists(word: pa.Array) -> pa.ListArray:
+    """Each binary value as an array of ints."""
+    length = pc.binary_length(word).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(word.to_pylist()), np.uint8).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(data))
 
 
 def _words(batch: pa.RecordBatch, name: str = "words") -> pa.ListArray:
@@ -126,7 +140,7 @@ def split_words(text, pattern: str):
 
 
 def frequent_words(words: DataFrame) -> DataFrame:
-    """The DICTIONARY_WORDS most frequent words of FOLD_BYTES bytes at most (word binary, c), over all rows."""
+    """The DICTIONARY_WORDS most frequent words of DICTIONARY_BYTES bytes at most (word binary, c), over all rows."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,22 +148,40 @@ def frequent_words(words: DataFrame) -> DataFrame:
             if len(flat):
                 v = flat.value_counts()
                 word, c = v.field("values"), v.field("counts")
-                keep = pc.less_equal(pc.binary_length(word), FOLD_BYTES)
+                keep = pc.less_equal(pc.binary_length(word), DICTIONARY_BYTES)
                 yield pa.RecordBatch.from_arrays([word.filter(keep), c.filter(keep)], ["word", "c"])
 
     found = words.mapInArrow(counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return found.where("c > 1").orderBy(F.desc("c"), "word").limit(DICTIONARY_WORDS)
 
 
-def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[dict[bytes, np.ndarray], int]:
+def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The frequent words, where the ids of each start, and all ids."""
+
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             word = b.column(0)
-            yield pa.RecordBatch.from_arrays([word, _int_lists(_bytes_of(word.to_pylist()))], ["word", "bytes"])
+            yield pa.RecordBatch.from_arrays([word, _byte_lists(word)], ["word", "bytes"])
+
+    rows = frequent_words(words).select("word").repartition(24).mapInArrow(with_bytes, "word binary, bytes array<int>")
+    got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
+    if not len(got):
+        return pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, np.int32)
+    ids = got.column("ids").chunk(0)
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    return got.column("word").chunk(0), offsets - offsets[0], ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
 
-    rows = frequent_words(words).select("word").mapInArrow(with_bytes, "word binary, bytes array<int>").repartition(24).select("word", fold_merges(F.col("bytes"), ranks).alias("ids"))
-    got = rows.toArrow()
-    return {w.as_py(): np.asarray(i.values, np.int32) for w, i in zip(got.column("word"), got.column("ids"), strict=True)}
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start : start + length] of each, one after the other."""
+    total = int(length.sum())
+    before = np.cumsum(length) - length
+    return flat[np.repeat(start - before, length) + np.arange(total)] if total else flat[:0]
+
+
+def _row_ends(lists: pa.ListArray) -> np.ndarray:
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,67 +197,98 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast((_dictionary(words.select("words"), literal), ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's distinct words as ids; `new` has the bytes of those that this task meets first."""
-        known, _ = shared.value
+        """Adds to each row the bytes of the words that this task meets first and the dictionary lacks."""
+        known = shared.value[0][0]
         met: set[bytes] = set()
         for b in batches:
             lists = _words(b)
-            reset, new = [], []
             coded = lists.flatten().dictionary_encode()
-            uniq, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            first = np.zeros(len(uniq), np.int64)  # the row in which a word of the batch comes first
+            uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
+            per_row, bytes_of_new = np.zeros(len(b), np.int64), _byte_lists(pa.array([], pa.binary()))
             if len(at):
-                u, pos = np.unique(at, return_index=True)
-                first[u] = np.searchsorted(ends, pos, side="right") - 1
-            by_row: list[list[bytes]] = [[] for _ in range(len(b))]
-            for w, r in zip(uniq, first.tolist(), strict=True):
-                if w not in known and w not in met and len(w) <= FOLD_BYTES:
-                    by_row[r].append(w)
-                    met.add(w)
-            reset = [False] * len(b)
+                lacking = pc.and_(pc.invert(pc.is_in(uniq, value_set=known)), pc.less_equal(pc.binary_length(uniq), FOLD_BYTES)).to_numpy(zero_copy_only=False)
+                where = np.flatnonzero(lacking)  # ids of a dictionary are in the order of first occurrence
+                new = uniq.take(pa.array(where))
+                fresh = np.array([w not in met for w in new.to_pylist()], bool)
+                new, where = new.filter(pa.array(fresh)), where[fresh]
+                met.update(new.to_pylist())
+                _, first = np.unique(at, return_index=True)
+                per_row += np.bincount(np.searchsorted(ends, first[where], side="right") - 1, minlength=len(b))
+                bytes_of_new = _byte_lists(new)
+            reset = np.zeros(len(b), bool)
             if len(met) > REMEMBERED and len(b):
                 met, reset[-1] = set(), True
-            new = [_bytes_of(ws) for ws in by_row]
-            n_new = np.cumsum([0, *map(len, new)]).astype(np.int32)
-            inner = _int_lists([x for ws in new for x in ws])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(n_new), inner), pa.array(reset)], ["doc_id", "words", "new", "reset"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, bytes_of_new), pa.array(reset)], ["doc_id", "words", "new", "reset"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = shared.value
-        own: dict[bytes, np.ndarray] = {}
+        (known, starts, flat), ranks = shared.value
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
+        piece_len = np.array([len(x) for x in pieces], np.int64)
+        piece_at, piece_bytes = np.cumsum(piece_len) - piece_len, np.frombuffer(b"".join(pieces), np.uint8)
+        own: dict[bytes, np.ndarray] = {}
         for b in batches:
-            lists, folded = _words(b), b.column(2)
-            out_n, out_ids, out_text = [], [], []
-            resets = b.column(3).to_pylist()
-            for row, (words, ids) in enumerate(zip(lists, folded, strict=True)):
-                for i in ids.values:
-                    i = np.asarray(i.values, np.int32)
-                    own[b"".join([pieces[x] for x in i.tolist()])] = i
-                got = []
-                for w in words.values.to_pylist():
-                    i = known.get(w)
-                    if i is None:
-                        i = own.get(w)
-                    if i is None:
-                        i = np.array(heap_merges(w, ranks), np.int32)
-                    got.append(i)
-                all_ids = np.concatenate(got) if got else np.empty(0, np.int32)
-                out_n.append(len(all_ids))
-                out_ids.append(all_ids.astype("<u4").tobytes())
-                out_text.append(b"".join([pieces[x] for x in all_ids.tolist()]))
-                if resets[row]:
+            # The batches here need not be those of look_up: a word's ids come with, or before, its first row.
+            lists, n = _words(b), len(b)
+            resets = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False)).tolist()
+            cuts = sorted({0, n, *(r + 1 for r in resets)})
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                new = b.column(2).slice(lo, hi - lo).flatten()
+                ids, ends = new.flatten().to_numpy(zero_copy_only=False), _row_ends(new) if len(new) else np.zeros(1, np.int64)
+                for i in range(len(new)):
+                    x = ids[ends[i] : ends[i + 1]]
+                    own[b"".join([pieces[t] for t in x.tolist()])] = x
+                yield from _assemble(b.column(0).slice(lo, hi - lo), lists.slice(lo, hi - lo), known, starts, flat, own, ranks, piece_at, piece_len, piece_bytes)
+                if hi - 1 in resets:
                     own = {}
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out_n, pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     found = words.mapInArrow(look_up, "doc_id long, words array<string>, new array<array<int>>, reset boolean")
     folded = found.select("doc_id", "words", F.transform("new", lambda w: fold_merges(w, literal)).alias("ids"), "reset")
     return folded.mapInArrow(put_together, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def _assemble(doc_ids, lists, known, starts, flat, own, ranks, piece_at, piece_len, piece_bytes) -> Iterator[pa.RecordBatch]:
+    coded = lists.flatten().dictionary_encode()
+    uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
+    found = pc.index_in(uniq, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(found < 0)
+    rows = [i if (i := own.get(w)) is not None else np.array(heap_merges(w, ranks), np.int32) for w in uniq.take(pa.array(rest)).to_pylist()]
+    rest_len = np.array([len(x) for x in rows], np.int64)
+    everything = np.concatenate([flat, *rows]).astype(np.uint32)
+    start, length = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
+    hit = found >= 0
+    start[hit], length[hit] = starts[found[hit]], starts[found[hit] + 1] - starts[found[hit]]
+    start[rest], length[rest] = len(flat) + np.cumsum(rest_len) - rest_len, rest_len
+    lo = 0
+    while lo < len(lists):  # some rows at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + TOKENS_AT_ONCE, side="right")) - 1)
+        n_tokens, ids, text, at_row = [], [], [], lo
+        if hi == lo + 1:
+            got, decoded = [], []
+            for i in range(ends[lo], ends[hi], TOKENS_AT_ONCE):
+                w = at[i : min(i + TOKENS_AT_ONCE, ends[hi])]
+                x = _gather(everything, start[w], length[w])
+                got.append(x.astype("<u4").tobytes())
+                decoded.append(_gather(piece_bytes, piece_at[x], piece_len[x]).tobytes())
+            ids, text = [b"".join(got)], [b"".join(decoded)]
+            n_tokens = [len(ids[0]) // 4]
+        else:
+            w = at[ends[lo] : ends[hi]]
+            x = _gather(everything, start[w], length[w])
+            token_ends = np.concatenate(([0], np.cumsum(length[w])))[ends[lo : hi + 1] - ends[lo]]
+            byte_ends = np.concatenate(([0], np.cumsum(piece_len[x])))[token_ends].tolist()
+            raw, decoded = x.astype("<u4").tobytes(), _gather(piece_bytes, piece_at[x], piece_len[x]).tobytes()
+            token_ends = token_ends.tolist()
+            for i in range(hi - lo):
+                n_tokens.append(token_ends[i + 1] - token_ends[i])
+                ids.append(raw[4 * token_ends[i] : 4 * token_ends[i + 1]])
+                text.append(decoded[byte_ends[i] : byte_ends[i + 1]])
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(at_row, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        lo = hi
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
