@@ -9,6 +9,18 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(mod):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op1_toxicity(spark, sf_dir):
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(_remainder(4) != 2))
+    return score_toxicity(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -17,6 +29,14 @@ def op5_byte_bpe(spark, sf_dir):
     return digests(encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op7_language_id(spark, sf_dir):
+    from .language_id import fit_languages, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(_remainder(3) != 1).select("doc_id", "text", "lang"))
+    return identify(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
