@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text (the windows of toxic documents that
-hold character sequences rare in ordinary ones). A window is a word; its gain is how many bytes shorter the toxic
+hold character sequences rare in ordinary ones; the ordinary dictionary precedes it, so that only such sequences can
+make a difference). A window is a word; its gain is how many bytes shorter the toxic
 dictionary makes it. A document's score is a logistic function, fitted on other labelled rows, of its gains.
 """
 
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ from ._common import fraction, hash_unit, texts
 #: Labelled rows of each class, and characters of a row, that the fit uses at most.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 30_000
 ORDINARY_DICT, TOXIC_DICT = 48_000, 12_000
-GRAM, MIN_DOCS, MIN_RATIO = 5, 4, 12.0
-LEVEL = 12
+#: A sequence of GRAM characters is toxic if it is in MIN_SHARE of the toxic rows and MIN_RATIO times rarer in others.
+GRAM, MIN_SHARE, MIN_RATIO = 5, 0.01, 12.0
+LEVEL = 3
+TAIL = b"\n== window of one word ==\n"
 #: Windows whose gain a task remembers before it begins anew.
 REMEMBERED = 1_000_000
 
@@ -35,39 +39,55 @@ def windows(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _train(samples: list[bytes], size: int) -> tuple[bytes, bool]:
-    """Dictionary bytes, and whether zstandard could train on so few samples; else the samples themselves."""
+def _spread(docs: list[list[str]]) -> list[list[str]]:
+    """One of each group of near copies, told by two least hashes of word pairs."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for ws in docs:
+        pairs = {f"{a} {b}".encode() for a, b in zip(ws, ws[1:], strict=False)}
+        keys = {(seed, min(xxhash.xxh3_64_intdigest(x, seed) for x in pairs)) for seed in (1, 2)} if pairs else set()
+        if not keys & seen:
+            out.append(ws)
+        seen |= keys
+    return out
+
+
+def _train(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples, after the most frequent samples as far as it leaves room: from few bytes
+    the training keeps little, from fewer it fails."""
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes(), True
+        trained = zstandard.train_dictionary(size, samples, k=16, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:] or b" ", False
+        trained = b""
+    frequent = b"".join(w for w, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])))[: max(0, size - len(trained))]
+    return frequent + trained
 
 
 @dataclass
 class ToxicityModel:
-    ordinary: tuple[bytes, bool]
-    toxic: tuple[bytes, bool]
+    ordinary: bytes
+    toxic: bytes
     threshold: int = 2
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def gains(self):
-        """A function from a window to its gain, with a memory of bounded size."""
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
+        """A function from a window to its gain, with a memory of bounded size. A text that ends both dictionaries
+        follows each window: zstandard stores what is too short to shrink, and finds no match in the last bytes."""
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=64, dict_size=ORDINARY_DICT + TOXIC_DICT, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-        def compressor(d: tuple[bytes, bool]):
-            kind = zstandard.DICT_TYPE_FULLDICT if d[1] else zstandard.DICT_TYPE_RAWCONTENT
-            z = zstandard.ZstdCompressionDict(d[0], dict_type=kind)
+        def compressor(d: bytes):
+            z = zstandard.ZstdCompressionDict(d + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             z.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=z, compression_params=params).compress
 
-        ordinary, toxic, memory = compressor(self.ordinary), compressor(self.toxic), {}
+        ordinary, toxic, memory = compressor(self.ordinary), compressor(self.ordinary + self.toxic), {}
 
         def gain(w: str) -> int:
             g = memory.get(w)
             if g is None:
                 if len(memory) > REMEMBERED:
                     memory.clear()
-                b = f" {w} ".encode()
+                b = f" {w} ".encode() + TAIL
                 memory[w] = g = len(ordinary(b)) - len(toxic(b))
             return g
 
@@ -103,14 +123,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 0.05
 
 def fit(rows: list[tuple[str, int, bool]], prior: float) -> ToxicityModel:
     """rows: (text, toxic, whether it trains dictionaries; else it calibrates). prior: the share of toxic rows."""
-    split = lambda toxic: [windows(t) for t, y, d in rows if d and y == toxic]
+    split = lambda toxic: _spread([windows(t) for t, y, d in rows if d and y == toxic])
     bad, good = split(1), split(0)
     grams = lambda ws: {w[i : i + GRAM] for w in (f" {w} " for w in ws) for i in range(len(w) - GRAM + 1)}
     of_bad, of_good = Counter(), Counter()
     for c, docs in ((of_bad, bad), (of_good, good)):
         for ws in docs:
             c.update(grams(ws))
-    rare = {g for g, n in of_bad.items() if n >= MIN_DOCS and n / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
+    rare = {g for g, n in of_bad.items() if n >= max(3, MIN_SHARE * len(bad)) and n / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
     marked = [w for ws in bad for w in ws if any(f" {w} "[i : i + GRAM] in rare for i in range(len(w) + 3 - GRAM))]
     ordinary = _train([" ".join(ws[i : i + 12]).encode() for ws in good for i in range(0, len(ws), 12)][:60_000], ORDINARY_DICT)
     toxic = _train([f" {w} ".encode() for w in sorted(marked)], TOXIC_DICT)
