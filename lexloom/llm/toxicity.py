@@ -25,8 +25,10 @@ from ._common import fraction, hash_unit, texts
 #: Labelled rows of each class, and characters of a row, that the fit uses at most.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 30_000
 ORDINARY_DICT, TOXIC_DICT = 48_000, 12_000
-#: A sequence of GRAM characters is toxic if it is in MIN_SHARE of the toxic rows and MIN_RATIO times rarer in others.
-GRAM, MIN_SHARE, MIN_RATIO = 5, 0.01, 12.0
+#: A sequence of GRAM characters, or up to STEM ones at the start of a word, is toxic if it is in MIN_SHARE of the toxic
+#: rows, in MIN_ROWS of them, and MIN_RATIO times rarer in others.
+GRAM, STEM, MIN_SHARE, MIN_ROWS, MIN_RATIO = 5, 10, 0.01, 5, 5.0
+THRESHOLDS = (2, 3, 4, 5, 6)
 LEVEL = 3
 TAIL = b"\n== window of one word ==\n"
 #: Windows whose gain a task remembers before it begins anew.
@@ -67,8 +69,7 @@ def _train(samples: list[bytes], size: int) -> bytes:
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    threshold: int = 2
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = ()
 
     def gains(self):
         """A function from a window to its gain, with a memory of bounded size. A text that ends both dictionaries
@@ -94,16 +95,19 @@ class ToxicityModel:
         return gain
 
     def features(self, text: str | None, gain) -> np.ndarray:
-        """Bias, largest gain, log of the windows at or over the threshold, and their share."""
+        """Bias, largest gain, and for each threshold the log of the windows that reach it and their share."""
         found = Counter(windows(text)) if text else {}
-        total, hits, top = 0, 0, 0
+        total, top, hits = 0, 0, dict.fromkeys(THRESHOLDS, 0)
         for w, n in found.items():
             g = gain(w)
             total += n
-            if g >= self.threshold:
-                hits += n
+            if g >= THRESHOLDS[0]:
                 top = max(top, g)
-        return np.array([1.0, min(top, 12) / 4, np.log1p(min(hits, 50)), min(1.0, 20 * hits / total) if total else 0.0])
+                for t in THRESHOLDS:
+                    if g >= t:
+                        hits[t] += min(n, 5)
+        rates = [v for t in THRESHOLDS for v in (np.log1p(min(hits[t], 60)), min(1.0, 20 * hits[t] / total) if total else 0.0)]
+        return np.array([1.0, min(top, 12) / 4, *rates])
 
     def score(self, x: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30))))
@@ -121,35 +125,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 0.05
     return w
 
 
+def _grams(word: str) -> set[str]:
+    w = f" {word} "
+    return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)} | {w[:n] for n in range(GRAM + 1, min(STEM, len(w)) + 1)}
+
+
 def fit(rows: list[tuple[str, int, bool]], prior: float) -> ToxicityModel:
     """rows: (text, toxic, whether it trains dictionaries; else it calibrates). prior: the share of toxic rows."""
     split = lambda toxic: _spread([windows(t) for t, y, d in rows if d and y == toxic])
     bad, good = split(1), split(0)
-    grams = lambda ws: {w[i : i + GRAM] for w in (f" {w} " for w in ws) for i in range(len(w) - GRAM + 1)}
     of_bad, of_good = Counter(), Counter()
     for c, docs in ((of_bad, bad), (of_good, good)):
         for ws in docs:
-            c.update(grams(ws))
-    rare = {g for g, n in of_bad.items() if n >= max(3, MIN_SHARE * len(bad)) and n / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
-    marked = [w for ws in bad for w in ws if any(f" {w} "[i : i + GRAM] in rare for i in range(len(w) + 3 - GRAM))]
+            c.update(set().union(*map(_grams, set(ws))))
+    rare = {g for g, n in of_bad.items() if n >= max(MIN_ROWS, MIN_SHARE * len(bad)) and n / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
+    marked = [w for ws in bad for w in ws if not rare.isdisjoint(_grams(w))]
     ordinary = _train([" ".join(ws[i : i + 12]).encode() for ws in good for i in range(0, len(ws), 12)][:60_000], ORDINARY_DICT)
     toxic = _train([f" {w} ".encode() for w in sorted(marked)], TOXIC_DICT)
     model = ToxicityModel(ordinary, toxic)
     calibrate = [(t, y) for t, y, d in rows if not d] or [(t, y) for t, y, _ in rows]
-    gain, best = model.gains(), None
+    gain = model.gains()
     y = np.array([v for _, v in calibrate], float)
     # The sample has more toxic rows than the table: weigh the bias back to the prior.
     share = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    for threshold in range(1, 7):
-        model.threshold = threshold
-        x = np.array([model.features(t, gain) for t, _ in calibrate]).reshape(-1, 4)
-        w = _logistic(x, y)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        loss = -np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-9)) if len(y) else 0.0
-        if best is None or loss < best[0] - 1e-6:
-            best = loss, threshold, w
-    _, model.threshold, w = best
+    x = np.array([model.features(t, gain) for t, _ in calibrate]).reshape(-1, 2 + 2 * len(THRESHOLDS))
+    w = _logistic(x, y)
     w[0] += shift
     model.weights = tuple(float(v) for v in w)
     return model
