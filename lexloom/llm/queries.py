@@ -43,6 +43,18 @@ def op8_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    from .html_blocks import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark, sf_dir):
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
