@@ -21,6 +21,19 @@ def op1_toxicity(spark, sf_dir):
     return score_toxicity(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_exact_top_k(spark, sf_dir):
+    from .mtree import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc(spark, sf_dir):
+    from .warc import read_warc, write_warc
+
+    path = write_warc(_table(spark, sf_dir, "pages"))
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -29,6 +42,12 @@ def op5_byte_bpe(spark, sf_dir):
     return digests(encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op6_source_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "mix_topic", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op7_language_id(spark, sf_dir):
     from .language_id import fit_languages, identify
 
