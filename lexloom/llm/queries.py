@@ -74,8 +74,14 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
+    return {n: f for n, f in globals().items() if (n.startswith("op") and callable(f)) or n == "pipeline"}
 
 
 def oracle_sql():
