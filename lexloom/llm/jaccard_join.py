@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, fraction, hash_unit, longs, texts, written
+from ._common import broadcast_if_small, longs, texts, written
 from .components import connected_components
 from .shingles import shingle_set, signature
 
-#: Documents from which frequent shingles are learnt; they only order the shingles, so they cannot change a result.
-ORDER_SAMPLE_DOCS = 4000
-#: Occurrences among those that make a shingle frequent, and the most frequent ones that are kept (8 bytes each).
-ORDER_MIN_COUNT, ORDER_MAX_SHINGLES = 3, 500_000
+#: Shingles in the lowest REGION of the hash space are counted over all documents; prefixes prefer the rare ones there.
+#: Those of at least MIN_COUNT sets, the most frequent MAX_FREQUENT if there are more (9 bytes each), come last in the
+#: order. The order decides how much is compared, never what links.
+REGION, MIN_COUNT, MAX_FREQUENT = 0.36, 6, 1_000_000
 #: Shingles that one task holds at once; a larger block is dealt out as pairs of chunks.
 BLOCK_SHINGLES = 6_000_000
 
@@ -32,24 +32,49 @@ def _need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _order_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    spark = docs.sparkSession
-    rows = docs.count()
-    sample = docs.where(hash_unit("id") < fraction(rows, ORDER_SAMPLE_DOCS)).select("text")
+def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and the level (log2 of the count) of each."""
+    edge = np.uint64(int(REGION * (1 << 64)))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
-            seen = {signature(h): h for h in (shingle_set(t, k) for t in texts(b)) if len(h)}
-            if seen:
-                h, c = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+            new = []
+            for t in texts(b):
+                h = shingle_set(t, k)
+                if len(h) and (sig := signature(h)) not in done:
+                    done.add(sig)
+                    new.append(h[: np.searchsorted(h, edge)])
+            if new:
+                h, c = np.unique(np.concatenate(new), return_counts=True)
                 yield pa.RecordBatch.from_arrays([longs(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    found = sample.mapInArrow(counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= ORDER_MIN_COUNT)
-    top = found.orderBy(F.desc("c"), "h").limit(ORDER_MAX_SHINGLES).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
-
-
-def _postings(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    found = docs.select("text").mapInArrow(counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    top = found.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.log2(top["c"].to_numpy(np.float64)[order]).astype(np.uint8)
+
+
+def _prefix(h: np.ndarray, p: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first p shingles of a sorted set: the rare ones of the region, those beyond it, then the frequent ones by
+    level; each by hash."""
+    keys, levels = frequent
+    if not len(keys):
+        return h[:p]
+    low = h[: np.searchsorted(h, np.uint64(int(REGION * (1 << 64))))]
+    at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+    common = keys[at] == low
+    front = low[~common][:p]
+    if len(front) < p:
+        front = np.concatenate((front, h[len(low) :][: p - len(front)]))
+    if len(front) < p:
+        last, level = low[common], levels[at[common]]
+        front = np.concatenate((front, last[np.lexsort((last, level))][: p - len(front)]))
+    return front
+
+
+def _postings(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Member rows (doc set) of each document, and the postings of each new set of this task."""
     done: set[int] = set()
     names = ["k", "sig", "n", "doc", "member"]
@@ -66,14 +91,7 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, k: int, p
                 continue
             done.add(sig)
             p = n - _need(n, percent) + 1
-            rare = np.ones(n, bool)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                rare = frequent[at] != h
-            front = h[rare][:p]
-            if len(front) < p:
-                front = np.concatenate((front, h[~rare][: p - len(front)]))
-            ks.append(front)
+            ks.append(_prefix(h, p, frequent))
             sigs.append(np.full(p, sig, np.uint64))
             ns.append(np.full(p, n, np.int32))
         spread = [(i or 0) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for i in ids]
@@ -168,32 +186,40 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     own = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    # Tokens of one set alone cannot add to an overlap, and a set with too few others links with nothing.
+    many = np.bincount(flat, minlength=len(tokens)) > 1
+    shared = [x[many[x]] for x in own]
+    need = [_need(int(n), percent) for n in sizes]
+    able = [i for i in range(m) if len(shared[i]) >= need[i]]
     mark = np.zeros(len(tokens), bool)
     # Most copies of one text link to its first: a few leaders settle them in linear time.
     leaders: list[int] = []
-    for i in range(m):
-        mark[own[i]] = True
+    for i in able:
+        mark[shared[i]] = True
         alone = True
         for j in leaders[-8:]:
-            if uf.find(i) != uf.find(j) and linked(int(mark[own[j]].sum()), own[i], own[j]):
+            if uf.find(i) != uf.find(j) and linked(int(mark[shared[j]].sum()), own[i], own[j]):
                 uf.join(i, j)
                 alone = False
-        mark[own[i]] = False
+        mark[shared[i]] = False
         if alone:
             leaders.append(i)
-    roots = np.array([uf.find(i) for i in range(m)])
+    roots = np.array([uf.find(i) for i in able])
     kinds, sizes_of = np.unique(roots, return_counts=True)
-    if len(kinds) == 1:
-        return roots.tolist()
+    if len(kinds) <= 1:
+        return [uf.find(i) for i in range(m)]
     # Every other link has an end outside the largest component.
-    order = np.argsort(flat, kind="stable")
-    doc_of = np.repeat(np.arange(m), sizes)[order]
-    bounds = np.searchsorted(flat[order], np.arange(len(tokens) + 1))
+    doc_of = np.repeat(np.array(able), [len(shared[i]) for i in able])
+    of_able = np.concatenate([shared[i] for i in able])
+    order = np.argsort(of_able, kind="stable")
+    doc_of, bounds = doc_of[order], np.searchsorted(of_able[order], np.arange(len(tokens) + 1))
     largest = kinds[np.argmax(sizes_of)]
-    for i in np.flatnonzero(roots != largest).tolist():
-        docs, hits = divide_skip([doc_of[bounds[t] : bounds[t + 1]] for t in own[i]], _need(len(own[i]), percent))
+    for i, root in zip(able, roots.tolist(), strict=True):
+        if root == largest:
+            continue
+        docs, hits = divide_skip([doc_of[bounds[t] : bounds[t + 1]] for t in shared[i].tolist()], need[i])
         for j, both in zip(docs.tolist(), hits.tolist(), strict=True):
-            if j != i and 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+            if j != i and linked(both, own[i], own[j]):
                 uf.join(i, j)
     return [uf.find(i) for i in range(m)]
 
