@@ -60,3 +60,11 @@ def fraction(rows: int, wanted: int) -> float:
 def hash_unit(*cols) -> F.Column:
     """A number in [0, 1) that depends on the columns only."""
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / F.lit(float(1 << 52))
+
+
+def limit_batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session: what a Python worker holds at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import limit_batches
+
 #: Words of the dictionary that all tasks share, and their bytes at most: a bound on what is broadcast.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 600_000, 48
+DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 40
 #: The fold takes time with the square of a word's length; longer words merge over a heap instead.
 FOLD_BYTES = 400
 #: Buckets of the literal rank map; a power of two.
@@ -29,11 +31,33 @@ BUCKETS = 1 << 15
 #: Stands for "no merge" among ranks.
 NO_RANK = 99_999_999
 #: Words that a task remembers before it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words or so of which a task puts the tokens together at once.
 TOKENS_AT_ONCE = 1_000_000
 
-_JAVA_FLAGS = "(?U)"  # White space as Unicode has it, as in the tokenizer's own regular expressions
+#: White space as Unicode has it, as in the tokenizer's own regular expressions.
+_SPACE = r"\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def java_pattern(pattern: str) -> str:
+    """The pattern with \\s and \\S, within brackets or not, as Java classes of all Unicode white space."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            n = pattern[i + 1]
+            if n == "s":
+                out.append(_SPACE if inside else f"[{_SPACE}]")
+            elif n == "S" and not inside:
+                out.append(f"[^{_SPACE}]")
+            else:
+                out.append(c + n)
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,7 +160,7 @@ def _words(batch: pa.RecordBatch, name: str = "words") -> pa.ListArray:
 
 def split_words(text, pattern: str):
     """All matches of the pattern in a text, as an array of strings (null: none)."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_JAVA_FLAGS + pattern), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
 def frequent_words(words: DataFrame) -> DataFrame:
@@ -191,6 +215,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     an empty table gives an empty result. Texts are encoded whole, whatever their length.
     """
     spark: SparkSession = docs.sparkSession
+    limit_batches(spark, 4000)
     ranks = read_ranks(rank_path)
     literal = RankMap(ranks)
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col), pattern).alias("words"))
