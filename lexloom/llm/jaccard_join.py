@@ -21,9 +21,9 @@ from .components import connected_components
 from .shingles import shingle_set, signature
 
 #: Shingles in the lowest REGION of the hash space are counted over all documents; prefixes prefer the rare ones there.
-#: Those of at least MIN_COUNT sets, the most frequent MAX_FREQUENT if there are more (9 bytes each), come last in the
-#: order. The order decides how much is compared, never what links.
-REGION, MIN_COUNT, MAX_FREQUENT = 0.36, 6, 1_000_000
+#: Those of two or more sets come last, by their number; of more than MAX_FREQUENT such shingles (9 bytes each) only the
+#: most frequent do. The order decides how much is compared, never what links.
+REGION, MAX_FREQUENT = 0.36, 3_000_000
 #: Shingles that one task holds at once; a larger block is dealt out as pairs of chunks.
 BLOCK_SHINGLES = 6_000_000
 
@@ -33,7 +33,7 @@ def _need(n: int, percent: int) -> int:
 
 
 def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and the level (log2 of the count) of each."""
+    """The frequent shingles, sorted, and the level of each: its number of sets, up to 255."""
     edge = np.uint64(int(REGION * (1 << 64)))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,11 +49,17 @@ def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 h, c = np.unique(np.concatenate(new), return_counts=True)
                 yield pa.RecordBatch.from_arrays([longs(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    found = docs.select("text").mapInArrow(counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
-    top = found.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    found = docs.select("text").mapInArrow(counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    found = written(found.select("h", F.least("c", F.lit(255)).cast("short").alias("c")), "counts")
+    least, total = 256, 0
+    for row in found.groupBy("c").count().orderBy(F.desc("c")).collect():  # at most 254 rows
+        if total + row["count"] > MAX_FREQUENT:
+            break
+        least, total = row["c"], total + row["count"]
+    top = found.where(F.col("c") >= least).toArrow()
+    h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.log2(top["c"].to_numpy(np.float64)[order]).astype(np.uint8)
+    return h[order], top.column("c").to_numpy().astype(np.uint8)[order]
 
 
 def _prefix(h: np.ndarray, p: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -296,7 +302,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     picked = docs.join(broadcast_if_small(tasks), "id").select("text", "sig", "tasks").mapInArrow(hashes, "tasks array<long>, sig long, n int, h binary")
     picked = picked.select(F.explode("tasks").alias("task"), "sig", "n", "h").repartition("task").sortWithinPartitions("task", "n", "sig")
-    edges = picked.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long")
+    edges = written(picked.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"), "links")
     # Without split blocks the edges are whole stars already.
     roots = connected_components(edges) if split else edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct()
     roots = written(roots, "roots")

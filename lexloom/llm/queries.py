@@ -27,6 +27,12 @@ def op2_exact_top_k(spark, sf_dir):
     return exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_image_copies(spark, sf_dir):
+    from .image_copies import image_copies, page_images
+
+    return image_copies(page_images(_table(spark, sf_dir, "pages")))
+
+
 def op4_warc(spark, sf_dir):
     from .warc import read_warc, write_warc
 
