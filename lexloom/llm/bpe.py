@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ NO_RANK = 99_999_999
 #: Words that a task remembers before it begins anew.
 REMEMBERED = 200_000
 #: Words or so of which a task puts the tokens together at once.
-TOKENS_AT_ONCE = 1_000_000
+TOKENS_AT_ONCE = 200_000
 
 #: White space as Unicode has it, as in the tokenizer's own regular expressions.
 _SPACE = r"\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -179,8 +180,20 @@ def frequent_words(words: DataFrame) -> DataFrame:
     return found.where("c > 1").orderBy(F.desc("c"), "word").limit(DICTIONARY_WORDS)
 
 
-def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The frequent words, where the ids of each start, and all ids."""
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def _places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted hash stands among the sorted ones; -1 if it doesn't."""
+    if not len(hashes):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[at] == wanted, at, -1)
+
+
+def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The hashes, sorted, of the frequent words, the words, where the ids of each start, and all ids."""
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,10 +203,12 @@ def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[pa.Array, np.ndarray,
     rows = frequent_words(words).select("word").repartition(24).mapInArrow(with_bytes, "word binary, bytes array<int>")
     got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
     if not len(got):
-        return pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.uint64), pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, np.int32)
+    hashes = _hashes(got.column("word").chunk(0))
+    order = np.argsort(hashes)
+    got = got.take(pa.array(order)).combine_chunks()
     ids = got.column("ids").chunk(0)
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    return got.column("word").chunk(0), offsets - offsets[0], ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return hashes[order], got.column("word").chunk(0), _row_ends(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -215,15 +230,17 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     an empty table gives an empty result. Texts are encoded whole, whatever their length.
     """
     spark: SparkSession = docs.sparkSession
-    limit_batches(spark, 4000)
+    limit_batches(spark, 1000)
     ranks = read_ranks(rank_path)
     literal = RankMap(ranks)
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col), pattern).alias("words"))
-    shared = spark.sparkContext.broadcast((_dictionary(words.select("words"), literal), ranks))
+    dictionary = _dictionary(words.select("words"), literal)
+    # The first pass needs the hashes alone; a word taken for a known one by its hash merges over a heap in the second.
+    hashes, shared = spark.sparkContext.broadcast(dictionary[0]), spark.sparkContext.broadcast((dictionary, ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds to each row the bytes of the words that this task meets first and the dictionary lacks."""
-        known = shared.value[0][0]
+        known = hashes.value
         met: set[bytes] = set()
         for b in batches:
             lists = _words(b)
@@ -231,7 +248,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
             per_row, bytes_of_new = np.zeros(len(b), np.int64), _byte_lists(pa.array([], pa.binary()))
             if len(at):
-                lacking = pc.and_(pc.invert(pc.is_in(uniq, value_set=known)), pc.less_equal(pc.binary_length(uniq), FOLD_BYTES)).to_numpy(zero_copy_only=False)
+                lacking = (_places(known, _hashes(uniq)) < 0) & pc.less_equal(pc.binary_length(uniq), FOLD_BYTES).to_numpy(zero_copy_only=False)
                 where = np.flatnonzero(lacking)  # ids of a dictionary are in the order of first occurrence
                 new = uniq.take(pa.array(where))
                 fresh = np.array([w not in met for w in new.to_pylist()], bool)
@@ -247,7 +264,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, bytes_of_new), pa.array(reset)], ["doc_id", "words", "new", "reset"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, starts, flat), ranks = shared.value
+        (*known, starts, flat), ranks = shared.value
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
@@ -277,7 +294,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 def _assemble(doc_ids, lists, known, starts, flat, own, ranks, piece_at, piece_len, piece_bytes) -> Iterator[pa.RecordBatch]:
     coded = lists.flatten().dictionary_encode()
     uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
-    found = pc.index_in(uniq, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    found = _places(known[0], _hashes(uniq))
+    same = pc.equal(known[1].take(pa.array(np.maximum(found, 0))), uniq).to_numpy(zero_copy_only=False) if len(known[1]) else False
+    found = np.where((found >= 0) & same, found, -1)
     rest = np.flatnonzero(found < 0)
     rows = [i if (i := own.get(w)) is not None else np.array(heap_merges(w, ranks), np.int32) for w in uniq.take(pa.array(rest)).to_pylist()]
     rest_len = np.array([len(x) for x in rows], np.int64)
