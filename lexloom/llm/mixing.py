@@ -55,13 +55,12 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]]) -> np.
     return w
 
 
-def rake_frame(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """The same for more cells than the driver takes: each round joins the margins' ratios."""
-    spark = cells.sparkSession
+def rake_frame(cells: DataFrame, goals: Mapping[str, DataFrame]) -> DataFrame:
+    """The same for more cells than the driver takes: each round joins the margins' ratios. goals holds a table (value,
+    goal) for each dimension."""
     cells = cells.withColumn("w", F.lit(1.0))
     for _ in range(FRAME_ROUNDS):
-        for name, want in targets.items():
-            goal = spark.createDataFrame([(k, float(v)) for k, v in want.items()], f"{name} string, goal double")
+        for name, goal in goals.items():
             margin = cells.groupBy(name).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).join(goal, [name], "left")
             all_ = margin.agg(F.sum("now").alias("total"), F.sum("goal").alias("goals"))
             ratio = margin.join(F.broadcast(all_)).select(name, F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("goals") * F.col("total") / F.col("now")).otherwise(1.0).alias("ratio"))
@@ -70,6 +69,18 @@ def rake_frame(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) ->
     return cells
 
 
+def goal_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None) -> dict[str, DataFrame]:
+    """The targets as tables; where none are given, the tempered shares of every value."""
+    if targets is not None:
+        return {d: cells.sparkSession.createDataFrame([(k, float(v)) for k, v in want.items()], f"{d} string, goal double") for d, want in targets.items()}
+    out = {}
+    for d in DIMENSIONS:
+        powers = written(cells.groupBy(d).agg(F.sum("tokens").alias("t")).select(d, F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(TEMPERATURE))).otherwise(0.0).alias("goal")), "goals")
+        total = powers.agg(F.sum("goal")).first()[0] or 1.0
+        out[d] = powers.select(d, (F.col("goal") / F.lit(total)).alias("goal"))
+    return out
+
+
 def topic_of(text: Column) -> Column:
     """A coarse topic from a text's form: its writing style where no classifier has set one."""
     return F.when(text.contains(" | "), "table").when(text.rlike(r"[#$%&*]{3}(\s|$)"), "noise").when(text.rlike(r"\p{Lu}{4,}!!"), "shout").when(F.length(text) < 400, "short").otherwise("prose")
@@ -87,20 +98,17 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     found = docs.withColumns({"__topic": topic if topic is not None else topic_of(F.col("text")), "__n": words.cast("long")})
     found = found.withColumns({f"__{d}": F.coalesce(F.col(f"__{d}" if d == "topic" else d).cast("string"), F.lit("")) for d in DIMENSIONS})
     cells = written(found.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__n").alias("tokens")), "cells")
-    if targets is None:
-        targets = {}
-        for d in DIMENSIONS:
-            margin = cells.groupBy(d).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t")).limit(DRIVER_CELLS).collect()
-            total = sum(r["t"] for r in margin) or 1
-            targets[d] = tempered({r[d]: r["t"] / total for r in margin})
     if cells.count() <= DRIVER_CELLS:
         frame = cells.orderBy(*DIMENSIONS).toPandas()
+        if targets is None:
+            margins = {d: frame.groupby(d)["tokens"].sum() for d in DIMENSIONS}
+            targets = {d: tempered((m / (m.sum() or 1)).to_dict()) for d, m in margins.items()}
         frame["w"] = rake(frame, targets)
         factor = _factor(frame["w"].to_numpy(float), frame["tokens"].to_numpy(float), keep)
         weights = docs.sparkSession.createDataFrame(frame[[*DIMENSIONS, "w"]], "source string, lang string, topic string, w double") if len(frame) else cells.select(*DIMENSIONS, F.lit(1.0).alias("w"))
         weights = F.broadcast(weights)
     else:
-        raked = rake_frame(cells, targets)
+        raked = rake_frame(cells, goal_frames(cells, targets))
         total = raked.agg(F.sum(F.col("w") * F.col("tokens")), F.sum("tokens")).first()
         factor = keep * (total[1] or 0) / (total[0] or 1)
         weights = broadcast_if_small(raked.select(*DIMENSIONS, "w"))

@@ -186,6 +186,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def _sources(spark):
+    """Documents of 9 sources, their sizes far apart, with more cells than some limits below."""
+    rng = random.Random(8)
+    rows = [(100 * s + i, _text(rng, 3 + s), "en" if i % (s + 2) else "de", f"s{s}", 1) for s in range(9) for i in range(2 + 3 * s)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_mixing_tail_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    got = mixing.mix(_sources(spark)).collect()
+    assert all(r.probability > 0 for r in got) and len({r.source for r in got}) == 9
+
+
 def test_image_copies(spark):
     rows = []
     for i in range(12):
