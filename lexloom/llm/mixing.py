@@ -17,7 +17,7 @@ from ._common import broadcast_if_small, hash_unit, written
 
 #: Cells raked on the driver (a few numbers each); more are raked as tables.
 DRIVER_CELLS = 200_000
-ROUNDS, TOLERANCE, FRAME_ROUNDS = 200, 1e-9, 12
+ROUNDS, TOLERANCE = 200, 1e-9
 #: Targets, where none are given, are the shares found, to this power, made to sum to 1.
 TEMPERATURE = 0.7
 DIMENSIONS = ("source", "lang", "topic")
@@ -56,17 +56,37 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]]) -> np.
 
 
 def rake_frame(cells: DataFrame, goals: Mapping[str, DataFrame]) -> DataFrame:
-    """The same for more cells than the driver takes: each round joins the margins' ratios. goals holds a table (value,
-    goal) for each dimension."""
-    cells = cells.withColumn("w", F.lit(1.0))
-    for _ in range(FRAME_ROUNDS):
-        for name, goal in goals.items():
-            margin = cells.groupBy(name).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).join(goal, [name], "left")
-            all_ = margin.agg(F.sum("now").alias("total"), F.sum("goal").alias("goals"))
-            ratio = margin.join(F.broadcast(all_)).select(name, F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("goals") * F.col("total") / F.col("now")).otherwise(1.0).alias("ratio"))
-            cells = cells.join(ratio, cells[name].eqNullSafe(ratio[name]), "left").drop(ratio[name]).withColumn("w", F.col("w") * F.coalesce("ratio", F.lit(1.0))).drop("ratio")
-        cells = written(cells, "raked")
-    return cells
+    """The same for more cells than the driver takes, to the same tolerance. goals holds a table (value, goal) for each
+    dimension; no dimension is null. A cell's weight is the product of its values' factors, so a round writes those only."""
+    factors, small = {}, {}
+    for name, goal in goals.items():
+        have = cells.groupBy(name).agg(F.sum("tokens").alias("have")).join(goal, [name], "left")
+        start = written(have.select(name, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(0.0).alias("goal"), F.lit(1.0).alias("f")), "factors")
+        n, total = start.agg(F.count("*"), F.sum("goal")).first()
+        if total and total > 0:
+            factors[name], small[name] = start.withColumn("goal", F.col("goal") / F.lit(total)), n <= 1_000_000
+
+    def weighted() -> DataFrame:
+        out = cells.withColumn("w", F.lit(1.0))
+        for name, f in factors.items():
+            f = f.select(name, F.col("f").alias("__f"))
+            out = out.join(F.broadcast(f) if small[name] else f, [name]).withColumn("w", F.col("w") * F.col("__f")).drop("__f")
+        return out
+
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    for _ in range(ROUNDS):
+        change = 0.0
+        for name in factors:
+            if total <= 0:
+                return written(weighted(), "raked")
+            margin = weighted().groupBy(name).agg(F.sum(F.col("w") * F.col("tokens")).alias("now"))
+            ratio = F.when(F.col("now") > 0, F.col("goal") * F.lit(total) / F.col("now")).otherwise(1.0)
+            f = written(factors[name].join(margin, [name]).withColumn("ratio", ratio).select(name, "goal", (F.col("f") * F.col("ratio")).alias("f"), "ratio", "now"), "factors")
+            moved, total = f.agg(F.max(F.abs(F.col("ratio") - 1)), F.sum(F.col("now") * F.col("ratio"))).first()
+            change, factors[name] = max(change, moved), f.select(name, "goal", "f")
+        if change < TOLERANCE:
+            break
+    return written(weighted(), "raked")
 
 
 def goal_frames(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None) -> dict[str, DataFrame]:
@@ -109,8 +129,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         weights = F.broadcast(weights)
     else:
         raked = rake_frame(cells, goal_frames(cells, targets))
-        total = raked.agg(F.sum(F.col("w") * F.col("tokens")), F.sum("tokens")).first()
-        factor = keep * (total[1] or 0) / (total[0] or 1)
+        factor = _factor_frame(raked, keep)
         weights = broadcast_if_small(raked.select(*DIMENSIONS, "w"))
     weights = weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("w").alias("__w"))
     out = found.join(weights, [f"__{d}" for d in DIMENSIONS], "left")
@@ -132,3 +151,20 @@ def _factor(w: np.ndarray, tokens: np.ndarray, keep: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if share(mid) < keep else (low, mid)
     return high
+
+
+def _factor_frame(raked: DataFrame, keep: float) -> float:
+    """The same over a table: the kept share is concave in the factor, so Newton's steps from below reach it."""
+    w, tokens = F.col("w"), F.col("tokens")
+    total, weighted = raked.agg(F.sum(tokens), F.sum(w * tokens)).first()
+    if not total or not weighted or weighted <= 0:
+        return 0.0
+    factor, was = keep * total / weighted, None
+    while True:
+        clipped = w * F.lit(factor) >= 1
+        full, rest = raked.agg(F.sum(F.when(clipped, tokens)), F.sum(F.when(~clipped, w * tokens))).first()
+        if not full or full == was:
+            return factor
+        if not rest:
+            return factor if full >= keep * total else 2.0**40  # as far as the bisection goes
+        factor, was = max(factor, (keep * total - full) / rest), full

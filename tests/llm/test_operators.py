@@ -199,6 +199,20 @@ def test_mixing_tail_of_sources(spark, monkeypatch):
     assert all(r.probability > 0 for r in got) and len({r.source for r in got}) == 9
 
 
+def test_mixing_as_tables(spark, monkeypatch):
+    docs = _sources(spark)
+    given = {"source": {"s0": 0.5, "s8": 0.2, "s3": 0.3, "none": 0.4}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"none": 1.0}}
+    for targets, keep in ((None, 0.9), (given, 0.3), (given, 0.99)):
+        rows = []
+        for limit in (200_000, 3):
+            monkeypatch.setattr(mixing, "DRIVER_CELLS", limit)
+            rows.append(sorted((r.doc_id, r.weight, r.probability, r.sampled, r.n_tokens) for r in mixing.mix(docs, targets, keep=keep).collect()))
+        assert len(rows[0]) == len(rows[1]) and np.allclose(np.array(rows[0], float), np.array(rows[1], float), rtol=1e-6, atol=1e-9)
+        if targets is None:
+            assert abs(sum(r[2] * r[4] for r in rows[1]) / sum(r[4] for r in rows[1]) - keep) < 1e-6
+            assert max(r[2] for r in rows[1]) == 1
+
+
 def test_image_copies(spark):
     rows = []
     for i in range(12):
