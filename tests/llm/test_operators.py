@@ -222,3 +222,42 @@ def test_image_copies(spark):
     rows += [(100, c.shape[1], c.shape[0], bytearray(c.tobytes())), (101, 64, 64, None), (102, 64, 64, bytearray(64 * 64)), (103, 64, 64, rows[3][3])]
     got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
     assert got[100] == 0 and got[103] == 3 and got[101] == 101 and got[102] == 102 and got[7] == 7
+
+
+def _image_links(images):
+    """Pairs of image ids with enough votes, by brute force."""
+    found = []
+    for _, w, h, px in images:
+        a = np.frombuffer(bytes(px), np.uint8).reshape(h, w)
+        content = image_copies.xxhash.xxh3_64_intdigest(bytes(px) + f"{w}x{h}".encode())
+        pieces = {(k, int(v), *at) for *at, bits in image_copies.descriptors(a) for k, v in enumerate(np.frombuffer(bits, np.int64))}
+        found.append((content - (content >> 63 << 64), pieces))
+    out = []
+    for i, (c, p) in enumerate(found):
+        for j, (e, q) in enumerate(found):
+            votes = {}
+            for k, v, s, x, y, g in p if c > e else ():
+                for k2, v2, s2, x2, y2, g2 in q:
+                    if (k, v) == (k2, v2):
+                        t, r = (g - g2) * np.pi / 8, s / s2
+                        at = (x - r * (np.cos(t) * x2 - np.sin(t) * y2)) / 4, (y - r * (np.sin(t) * x2 + np.cos(t) * y2)) / 4
+                        votes.setdefault(((g - g2) % 16, r, *(int(np.floor(abs(o) + 0.5) * np.sign(o)) for o in at)), set()).add((x, y))
+            if any(len(x) >= image_copies.MIN_VOTES for x in votes.values()):
+                out += [i, j]
+    return [out.count(i) for i in range(len(images))]
+
+
+def test_image_copies_meet_in_pairs(spark, monkeypatch):
+    rows = []
+    for i in range(30):
+        a = image_copies.render(i * 31 + 9).astype(int)
+        rows.append((len(rows), 64, 64, bytearray(a.astype(np.uint8).tobytes())))
+        for step in (2, 4, 6, 8) if i < 4 else ():
+            c = np.clip(a[step:, step:] + step, 0, 255).astype(np.uint8)
+            rows.append((len(rows), c.shape[1], c.shape[0], bytearray(c.tobytes())))
+    want = _image_links(rows)
+    assert sorted(want)[-4] >= 3  # groups whose members are all compared
+    images = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    for common in (64, 1):
+        monkeypatch.setattr(image_copies, "COMMON", common)
+        assert [r.n_links for r in image_copies.image_copies(images).orderBy("image_id").collect()] == want
