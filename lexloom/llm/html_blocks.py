@@ -29,6 +29,10 @@ MAIN = frozenset(("article", "main"))
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related rail search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post postbody story".split())
+#: Words that leave a compound name what its other words make it ("site-footer"), and elements whose names tell of a
+#: layout or a topic, not of themselves.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons container entry form global group icon icons inner item items left link links list main outer page panel post primary right secondary section site story text top wrap wrapper".split())
+NOT_BOILER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -41,25 +45,44 @@ class Block:
     heading: bool
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, main, silent) as an element's name and attributes tell."""
-    boiler, main, silent = tag in BOILER or tag == "header", tag in MAIN, tag in SILENT
+def _named(token: str, inside: bool) -> tuple[bool, bool]:
+    """(boilerplate, maybe boilerplate) as a class or id tells: all its words must be boilerplate or neutral for the
+    first, one of them for the second. A header within main text, or one of it, holds its title."""
+    words = {w for w in re.split(r"[^a-z]+", token) if w}
+    found = words & BOILER_WORDS
+    if found == {"header"} and (inside or words & MAIN_WORDS):
+        return False, False
+    if words & COMMENT_WORDS and not words - COMMENT_WORDS - BOILER_WORDS - NEUTRAL_WORDS - MAIN_WORDS:
+        return True, True
+    return bool(found) and not words - BOILER_WORDS - NEUTRAL_WORDS, bool(found or words & COMMENT_WORDS)
+
+
+def _marks(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool, bool, bool]:
+    """(boilerplate, maybe boilerplate, main, silent) as an element's name and attributes tell; inside: within main."""
+    boiler, weak, main, silent = tag in BOILER or tag == "header", False, tag in MAIN, tag in SILENT
     for name, a, b, c, hidden in _ATTR.findall(attrs) if attrs else ():
-        value = (a or b or c).lower()
-        if hidden or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
+        name, value = name.lower(), (a or b or c).lower()
+        if hidden or (name == "style" and re.search(r"display\s*:\s*none", value)):
             silent = True
             continue
-        words = set(re.split(r"[^a-z]+", value))
-        boiler |= bool(words & BOILER_WORDS) or bool(words & COMMENT_WORDS) or value in ("navigation", "contentinfo", "complementary")
-        main |= bool(words & MAIN_WORDS) and tag not in ("body", "html", "a")
-    return boiler, main, silent
+        boiler |= value in ("navigation", "contentinfo", "complementary")
+        for token in value.split() if name in ("class", "id") else ():
+            sure, maybe = _named(token, inside)
+            if tag in NOT_BOILER:  # an article may still be a reader's comment
+                boiler |= tag == "article" and sure and bool(set(re.split(r"[^a-z]+", token)) & COMMENT_WORDS)
+                continue
+            # Within main text an id may be the slug of a heading.
+            slug = name == "id" and inside and not set(re.split(r"[^a-z]+", token)) & COMMENT_WORDS
+            boiler, weak = boiler or (sure and not slug), weak or maybe
+        main |= bool(set(re.split(r"[^a-z]+", value)) & MAIN_WORDS) and tag not in ("body", "html", "a")
+    return boiler, weak, main, silent
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order: runs of text between block-level tags, with white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    boiler = main = silent = link = 0
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    boiler = weak = main = silent = link = 0
     parts: list[str] = []
     linked: list[str] = []
     heading = False
@@ -70,14 +93,16 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, sum(len(entities.unescape(x).split()) for x in linked)), boiler > 0, main > 0, heading))
+                links = min(n, sum(len(entities.unescape(x).split()) for x in linked))
+                # A weak mark holds where the block is mostly links; else the tree judges by words and links alone.
+                out.append(Block(text, n, links, boiler > 0 or (weak > 0 and 2 * links >= n), main > 0, heading))
         parts, linked = [], []
 
     def pop(to: int) -> None:
-        nonlocal boiler, main, silent, link
+        nonlocal boiler, weak, main, silent, link
         while len(stack) > to:
-            tag, b, m, s = stack.pop()
-            boiler, main, silent, link = boiler - b, main - m, silent - s, link - (tag == "a")
+            tag, b, k, m, s = stack.pop()
+            boiler, weak, main, silent, link = boiler - b, weak - k, main - m, silent - s, link - (tag == "a")
 
     def add(text: str) -> None:
         if not silent and text:
@@ -131,11 +156,11 @@ def blocks(html: str) -> list[Block]:
                     if stack[i][0] == "a":
                         pop(i)
                         break
-            b, c, s = _marks(start, m[3])
+            b, k, c, s = _marks(start, m[3], main > 0)
             if start == "header" and main:
                 b = False  # an article's own header holds its title
-            stack.append((start, b, c, s))
-            boiler, main, silent, link = boiler + b, main + c, silent + s, link + (start == "a")
+            stack.append((start, b, k, c, s))
+            boiler, weak, main, silent, link = boiler + b, weak + k, main + c, silent + s, link + (start == "a")
     close()
     return out
 

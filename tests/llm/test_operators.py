@@ -117,6 +117,17 @@ def test_html(spark):
     assert got[0].n_chars == len(got[0].text)
 
 
+def test_html_names_that_only_hold_a_boilerplate_word():
+    tree, long = html_blocks.train_tree(), " ".join(["word"] * 30)
+    text = lambda body, mark="": html_blocks.main_text(f"<html{mark}><body{mark}>{body}</body></html>", tree)
+    assert text(f"<article><p>{long}</p></article>", " class='has-sidebar with-ads'") == long
+    for part in (f"<h2 id='related-work'>Title here</h2><p>{long}</p>", f"<section id='search-algorithms'><p>{long}</p></section>", "<div class='entry-header'><h1>Title here</h1></div>", f"<p id='how-to-share-data'>{long}</p>", f"<section id='copyright'><p>{long}</p></section>", f"<h2 class='header'>Title here</h2><p>{long}</p>"):
+        page = f"<article><p>{long}</p>{part}</article>"
+        assert text(page) == long + " " + " ".join(html_blocks.re.sub("<[^>]*>", " ", part).split())
+    for part in ("<div class='share-links'>Tell them now</div>", f"<div id='comments'><p>{long}</p></div>", f"<article class='comment-body'><p>{long}</p></article>", f"<div class='ad'>{long}</div>", "<div class='more-related-stories'><a href=/x>Other one</a></div>", f"<div class='site-footer'>{long}</div>"):
+        assert text(f"<article><p>{long}</p>{part}</article>") == long
+
+
 def test_warc(spark):
     rows = [(1, "u", "a<b>é"), (2, "u2", "a<b>é"), (3, None, None), (4, "", ""), (5, "x", "only"), (5, "x", "only"), (6, "y", "q" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
