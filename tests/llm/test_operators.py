@@ -109,6 +109,30 @@ def test_licenses(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licenses_in_standard_and_altered_notices(spark):
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under {} Creative Commons Attribution-{} License."
+    notices = {
+        gnu.format("program", "", "3"): "gpl,gpl-3",
+        gnu.format("program", "", "2"): "gpl",
+        gnu.format("library", "Lesser ", "3"): "lgpl,lgpl-3",
+        gnu.format("library", "Lesser ", "2.1"): "lgpl",
+        gnu.format("program", "Affero ", "3"): "agpl,agpl-3",
+        gnu.format("tool", "Affero ", "3").replace("modify", "change"): "agpl,agpl-3",
+        cc.format("a", "ShareAlike 4.0 International"): "cc-by-sa",
+        cc.format("the", "NonCommercial 4.0 International"): "cc-by-nc",
+        cc.format("a", "NonCommercial-ShareAlike 3.0 Unported"): "cc-by-nc-sa",
+        "This text is dedicated to the public domain": "public-domain",
+        "This work is hereby dedicated to the public domain": "public-domain",
+        "This work is dedicated to a friend": "",
+        "licensed under the new GNU Lesser General Public License version 3": "lgpl-3",
+        "licensed under the GNU Lesser General Public License version 2": "",
+    }
+    rows = list(enumerate(notices))
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == notices
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header>Top</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies here</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five<!-- no --></article><div id=comments><p>Nice read of the day it was</p></div><form>Name</form><footer>&copy; me</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "plain < text"), (1, "u", page)]
