@@ -13,8 +13,9 @@ from .language_id import UNKNOWN, fit_languages, identify
 from .mixing import mix
 from .toxicity import fit_toxicity, score_toxicity
 
-#: Documents go from this toxicity score on, and below this probability of their language.
-REJECT_TOXIC, MIN_LANGUAGE = 0.5, 0.4
+#: Documents go from this toxicity score on, where op1_toxicity calls them toxic, and below this probability of their
+#: language.
+REJECT_TOXIC, MIN_LANGUAGE = 0.3, 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

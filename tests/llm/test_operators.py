@@ -204,6 +204,18 @@ def test_toxicity_and_language(spark):
     assert {found[i].lang_pred for i in (9000, 9001, 9002)} == {"und"}
 
 
+def test_pipeline_drops_what_the_operator_calls_toxic(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lexloom.llm import pipeline_stages
+
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate((0.1, 0.29, 0.3, 0.45, 0.5, 0.9))], "doc_id long, s double")
+    monkeypatch.setattr(pipeline_stages, "fit_toxicity", lambda docs, labels: None)
+    monkeypatch.setattr(pipeline_stages, "score_toxicity", lambda docs, model, keep: docs.withColumn("score", F.col("s")))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: None)
+    assert [r.doc_id for r in pipeline_stages.drop_toxic(spark, docs, "").collect()] == [0, 1]
+
+
 def test_ppm_is_a_distribution():
     m = language_id.fit_counts({"a": [b"abracadabra abracad"], "b": [b"the other one"]})
     assert np.allclose(np.exp(-m.bits.reshape(-1, m.symbols, 2)).sum(1), 1, atol=1e-3)
