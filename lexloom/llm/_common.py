@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not base:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexloom-"))
         base = sc._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
@@ -62,9 +66,38 @@ def hash_unit(*cols) -> F.Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / F.lit(float(1 << 52))
 
 
-def limit_batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most `rows` rows from now on in this session: what a Python worker holds at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def fit_on_executor(rows: DataFrame, fit: Callable[[pd.DataFrame], object]):
+    """fit of all rows as one pandas frame, run in a task, so that the driver holds the result alone. Only for rows
+    whose number and size the caller has bounded."""
+    import pickle
+
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = [b.to_pandas() for b in batches]
+        got = fit(pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=names))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+
+
+def unused(wanted: str, taken) -> str:
+    """A column name that is not among those taken."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
+def columns_of(docs: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in (docs.columns if names is None else names)]
+
+
+def kept(docs: DataFrame, keep: list[str]) -> tuple[list[Column], list[str], str]:
+    """Columns to hand through a Python step, by position, under names that clash with nothing; the names; their DDL."""
+    names = [f"__{i}" for i in range(len(keep))]
+    by_name = {f.name: f.dataType for f in docs.schema.fields}
+    quoted = columns_of(docs, keep)
+    ddl = ", ".join(f"`{n}` {by_name[c].simpleString()}" for n, c in zip(names, keep, strict=True))
+    return [q.alias(n) for q, n in zip(quoted, names, strict=True)], names, ddl

@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Spark higher-order functions fold the ranked merges over the byte array of a word, looking ranks up in a literal map.
-Words are folded once for the whole corpus where they are among the most frequent (a dictionary of bounded size), and
-where a partition first meets them otherwise; numpy and Arrow only split texts into words, put the ids of words
-together and digest them.
+A task codes its texts as numbers of words and hands on the bytes of the words it meets first, so each distinct word is
+folded once a task, or once for the corpus where a bounded dictionary holds it; numpy then puts ids and pieces together.
 """
 
 from __future__ import annotations
@@ -12,53 +11,31 @@ import base64
 import hashlib
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import limit_batches
+from ._common import hash_unit, texts
 
-#: Words of the dictionary that all tasks share, and their bytes at most: a bound on what is broadcast.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 40
+#: Words, and bytes of each, of the dictionary that all tasks share: it only saves folds, so the words are taken from
+#: the texts of a hash share of the documents; results never depend on it.
+DICTIONARY_WORDS, DICTIONARY_BYTES, DICTIONARY_SHARE = 400_000, 40, 0.2
 #: The fold takes time with the square of a word's length; longer words merge over a heap instead.
 FOLD_BYTES = 400
 #: Buckets of the literal rank map; a power of two.
-BUCKETS = 1 << 15
-#: Stands for "no merge" among ranks.
-NO_RANK = 99_999_999
-#: Words that a task remembers before it begins anew.
-REMEMBERED = 200_000
-#: Words or so of which a task puts the tokens together at once.
-TOKENS_AT_ONCE = 200_000
-
-#: White space as Unicode has it, as in the tokenizer's own regular expressions.
-_SPACE = r"\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
-def java_pattern(pattern: str) -> str:
-    """The pattern with \\s and \\S, within brackets or not, as Java classes of all Unicode white space."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            n = pattern[i + 1]
-            if n == "s":
-                out.append(_SPACE if inside else f"[{_SPACE}]")
-            elif n == "S" and not inside:
-                out.append(f"[^{_SPACE}]")
-            else:
-                out.append(c + n)
-            i += 2
-            continue
-        inside = c == "[" or (inside and c != "]")
-        out.append(c)
-        i += 1
-    return "".join(out)
+BUCKETS = 1 << 16
+#: Bits of a token id, and of a place in a word; "no merge" among ranks.
+BITS = 20
+NO_RANK = MASK = (1 << BITS) - 1
+#: Words that a task remembers before it begins anew; characters split, and words put together, at once.
+REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 400_000, 1 << 20, 200_000
+#: Rows, and bytes of codes, of a batch between the steps of a task.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,64 +43,71 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucket(a, b):
-    return (a * 20011 + b * 13007) % BUCKETS
+def _long(x: int):
+    return F.lit(x).cast("long")
 
 
 class RankMap:
-    """Ranks of all pairs of tokens that merge, as one literal: buckets of keys a * 2^17 + b, and of their ranks."""
+    """Ranks of all pairs of tokens that merge, as one literal: buckets of left << 2 * BITS | right << BITS | rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(BUCKETS)]
+        if max(ranks.values()) >= NO_RANK:
+            raise ValueError(f"token ids must be below {NO_RANK}")
+        table: list[list[int]] = [[] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    keys[_bucket(a, b)].append(a << 17 | b)
-                    values[_bucket(a, b)].append(rank)
+                    table[((a << 9) ^ (a >> 3) ^ b) & (BUCKETS - 1)].append((a << 2 * BITS) | (b << BITS) | rank)
         two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
-        self.first = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
-        self.of_bytes = F.from_json(F.lit(json.dumps(two, separators=(",", ":"))), "array<int>")
+        literal = lambda x, t: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), t)
         # A foldable from_json turns into a literal when the plan is optimised.
-        self.keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<array<bigint>>")
-        self.values = F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<array<int>>")
+        self.of_byte = literal([ranks[bytes([i])] for i in range(256)], "array<bigint>")
+        self.of_bytes = literal(two, "array<bigint>")
+        self.table = literal(table, "array<array<bigint>>")
 
     def rank(self, a, b):
-        """The rank of two neighbouring tokens; null if they don't merge."""
-        at = F.pmod(a * 20011 + b * 13007, F.lit(BUCKETS))
-        key = F.shiftleft(a.cast("long"), 17).bitwiseOR(b.cast("long"))
-        return F.get(F.get(self.values, at), F.array_position(F.get(self.keys, at), key).cast("int") - 1)
+        """The rank of two neighbouring tokens (longs); NO_RANK if they don't merge, null if one is null."""
+        at = F.shiftleft(a, 9).bitwiseXOR(F.shiftright(a, 3)).bitwiseXOR(b).bitwiseAND(_long(BUCKETS - 1)).cast("int")
+        key = F.shiftleft(a, BITS).bitwiseOR(b)
+        found = F.get(F.filter(F.get(self.table, at), lambda v: F.shiftright(v, BITS) == key), F.lit(0)).bitwiseAND(_long(MASK))
+        return F.when(key.isNotNull(), F.coalesce(found, _long(NO_RANK)))
+
+
+def _let(value, body):
+    """body(value), value being worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def fold_merges(word_bytes, ranks: RankMap):
     """Token ids of a word, given its bytes as an array of ints: each step of the fold merges the leftmost pair of the
-    least rank and looks up its two new neighbours; a step that finds no pair leaves the word as it is.
-    t has the tokens, p the rank of each with its right neighbour (NO_RANK: they don't merge)."""
-    none = F.array().cast("array<int>")
-    no = F.lit(NO_RANK)
-    pairs = F.zip_with(word_bytes, F.slice(word_bytes, 2, F.size(word_bytes)), lambda a, b: F.coalesce(F.get(ranks.of_bytes, a * 256 + b), no))
-    start = F.struct(F.transform(word_bytes, lambda b: F.get(ranks.first, b)).alias("t"), pairs.alias("p"))
+    least rank; a step that finds no pair leaves the word as it is. A token is one long: the rank of the pair that it
+    opens, its place, its id; so the least element is the pair to merge."""
+    token = lambda x: x.bitwiseAND(_long(MASK))
+    packed = lambda rank, place, x: F.shiftleft(rank, 2 * BITS).bitwiseOR(F.shiftleft(place, BITS)).bitwiseOR(x)
+    no = _long(NO_RANK)
+    placed = F.transform(word_bytes, lambda b, i: F.shiftleft(i.cast("long"), BITS).bitwiseOR(F.get(ranks.of_byte, b)))
+    pairs = F.zip_with(word_bytes, F.slice(word_bytes, 2, F.size(word_bytes)), lambda a, b: F.shiftleft(F.coalesce(F.get(ranks.of_bytes, a * 256 + b), no), 2 * BITS))
+    start = F.zip_with(placed, pairs, lambda x, y: x.bitwiseOR(y))
 
-    def step(acc, _):
-        t, p = acc["t"], acc["p"]
+    def step(t, _):
+        def merge(least):
+            rank, place = F.shiftright(least, 2 * BITS), token(F.shiftright(least, BITS))
+            at = place.cast("int")
 
-        def at_place(at):
-            new = F.get(p, at)
-            sides = F.array(F.struct(F.get(t, at - 1).alias("a"), new.alias("b")), F.struct(new.alias("a"), F.get(t, at + 2).alias("b")))
+            def beside(x):  # the pair becomes one token, whose id is the rank; it and the token before get new ranks
+                now = packed(F.coalesce(ranks.rank(rank, token(x["after"])), no), place, rank)
+                before = packed(ranks.rank(token(x["before"]), rank), place - 1, token(x["before"]))
+                put = lambda y: F.transform(F.array_remove(t, x["right"]), lambda e, i: F.when(i < at - 1, e).when(i > at, e - _long(1 << BITS)).when(i == at, y["now"]).otherwise(y["before"]))
+                return _let(F.struct(now.alias("now"), before.alias("before")), put)
 
-            def merged(q):
-                tokens = F.array_compact(F.transform(t, lambda x, i: F.when(i == at, new).when(i != at + 1, x)))
-                beside = F.array_compact(F.transform(p, lambda r, i: F.when(i == at - 1, F.get(q, 0)).when(i == at, F.get(q, 1)).when(i != at + 1, r)))
-                return F.struct(tokens.alias("t"), beside.alias("p"))
+            around = F.struct(F.get(t, at - 1).alias("before"), F.get(t, at + 1).alias("right"), F.get(t, at + 2).alias("after"))
+            return F.when(rank == no, t).otherwise(_let(around, beside))
 
-            looked_up = F.transform(sides, lambda x: F.coalesce(ranks.rank(x["a"], x["b"]), no))
-            return F.when(new == no, acc).otherwise(F.element_at(F.transform(F.array(looked_up), merged), 1))
+        return _let(F.array_min(t), merge)
 
-        return F.element_at(F.transform(F.array(F.array_position(p, F.array_min(p)).cast("int") - 1), at_place), 1)
-
-    steps = F.when(F.size(word_bytes) > 1, F.sequence(F.lit(2), F.size(word_bytes))).otherwise(none)
-    return F.aggregate(steps, start, step)["t"]
+    steps = F.when(F.size(word_bytes) > 1, F.sequence(F.lit(2), F.size(word_bytes))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.aggregate(steps, start, step), lambda x: token(x).cast("int"))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -147,68 +131,67 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _byte_lists(word: pa.Array) -> pa.ListArray:
-    """Each binary value as an array of ints."""
-    length = pc.binary_length(word).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(word.to_pylist()), np.uint8).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(data))
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
-def _words(batch: pa.RecordBatch, name: str = "words") -> pa.ListArray:
-    col = batch.column(batch.schema.get_field_index(name))
-    return col.cast(pa.list_(pa.binary()))
+def split_runs(text: str, pattern) -> Iterator[list[str]]:
+    """All matches of the pattern, of some CHARS_AT_ONCE characters at a time: no match goes across a single space
+    between other characters, so long texts are cut there."""
+    lo = 0
+    while len(text) - lo > CHARS_AT_ONCE:
+        cut = _CUT.search(text, lo + CHARS_AT_ONCE)
+        if cut is None:
+            break
+        yield pattern.findall(text, lo, cut.start())
+        lo = cut.start()
+    yield pattern.findall(text, lo)
 
 
-def split_words(text, pattern: str):
-    """All matches of the pattern in a text, as an array of strings (null: none)."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+def _byte_lists(words: list[bytes]) -> pa.ListArray:
+    """Each word as an array of ints."""
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def frequent_words(words: DataFrame) -> DataFrame:
-    """The DICTIONARY_WORDS most frequent words of DICTIONARY_BYTES bytes at most (word binary, c), over all rows."""
+def frequent_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """(word, c): the DICTIONARY_WORDS most frequent words of DICTIONARY_BYTES bytes at most of texts (text)."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = _words(b).flatten()
-            if len(flat):
-                v = flat.value_counts()
-                word, c = v.field("values"), v.field("counts")
-                keep = pc.less_equal(pc.binary_length(word), DICTIONARY_BYTES)
-                yield pa.RecordBatch.from_arrays([word.filter(keep), c.filter(keep)], ["word", "c"])
-
-    found = words.mapInArrow(counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    return found.where("c > 1").orderBy(F.desc("c"), "word").limit(DICTIONARY_WORDS)
-
-
-def _hashes(words: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        split, seen = regex.compile(pattern), Counter()
 
+        def flush() -> pa.RecordBatch:
+            rows = [(w.encode(), c) for w, c in seen.items()]
+            rows = [(w, c) for w, c in rows if len(w) <= DICTIONARY_BYTES]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], ["word", "c"])
 
-def _places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted hash stands among the sorted ones; -1 if it doesn't."""
-    if not len(hashes):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return np.where(hashes[at] == wanted, at, -1)
+        for b in batches:
+            for text in texts(b):
+                for words in split_runs((text or b"").decode(), split):
+                    seen.update(words)
+                if len(seen) > REMEMBERED:
+                    yield flush()
+        yield flush()
+
+    found = docs.mapInArrow(counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return found.where("c > 1").orderBy(F.desc("c"), "word").limit(DICTIONARY_WORDS)
 
 
-def _dictionary(words: DataFrame, ranks: RankMap) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """The hashes, sorted, of the frequent words, the words, where the ids of each start, and all ids."""
+def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The frequent words, where the ids of each start, and all ids."""
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            word = b.column(0)
-            yield pa.RecordBatch.from_arrays([word, _byte_lists(word)], ["word", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _byte_lists(b.column(0).to_pylist())], ["word", "bytes"])
 
-    rows = frequent_words(words).select("word").repartition(24).mapInArrow(with_bytes, "word binary, bytes array<int>")
+    sample = docs.where(hash_unit("text") < DICTIONARY_SHARE)
+    parts = docs.sparkSession.sparkContext.defaultParallelism * 2
+    rows = frequent_words(sample, pattern).select("word").repartition(parts).mapInArrow(with_bytes, "word binary, bytes array<int>")
     got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
     if not len(got):
-        return np.empty(0, np.uint64), pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, np.int32)
-    hashes = _hashes(got.column("word").chunk(0))
-    order = np.argsort(hashes)
-    got = got.take(pa.array(order)).combine_chunks()
+        return [], np.zeros(1, np.int64), np.empty(0, np.int32)
     ids = got.column("ids").chunk(0)
-    return hashes[order], got.column("word").chunk(0), _row_ends(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return got.column("word").to_pylist(), _row_ends(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -223,6 +206,34 @@ def _row_ends(lists: pa.ListArray) -> np.ndarray:
     return offsets - offsets[0]
 
 
+class _Ids:
+    """Ids of coded words: those of the dictionary, then those that a task met."""
+
+    def __init__(self, starts: np.ndarray, flat: np.ndarray):
+        self.fixed = len(starts) - 1, len(flat)
+        self.starts, self.flat = starts.copy(), flat.astype(np.uint32)
+        self.reset()
+
+    def reset(self) -> None:
+        self.n, self.used = self.fixed
+
+    def add(self, ends: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self.n + len(ends) - 1, self.used + len(ids)
+        if n + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros(max(n + 1, len(self.starts)), np.int64)))
+        if used > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(used, len(self.flat)), np.uint32)))
+        self.starts[self.n + 1 : n + 1] = self.used + ends[1:]
+        self.flat[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each word has."""
+        start = self.starts[codes]
+        length = self.starts[codes + 1] - start
+        return _gather(self.flat, start, length), length
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary).
 
@@ -230,107 +241,112 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     an empty table gives an empty result. Texts are encoded whole, whatever their length.
     """
     spark: SparkSession = docs.sparkSession
-    limit_batches(spark, 1000)
     ranks = read_ranks(rank_path)
     literal = RankMap(ranks)
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_words(F.col(text_col), pattern).alias("words"))
-    dictionary = _dictionary(words.select("words"), literal)
-    # The first pass needs the hashes alone; a word taken for a known one by its hash merges over a heap in the second.
-    hashes, shared = spark.sparkContext.broadcast(dictionary[0]), spark.sparkContext.broadcast((dictionary, ranks))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each row the bytes of the words that this task meets first and the dictionary lacks."""
-        known = hashes.value
-        met: set[bytes] = set()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    words, starts, flat = _dictionary(rows.select("text"), pattern, literal)
+    known, tables = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((starts, flat, ranks))
+    del words, starts, flat
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as codes of its words, with the bytes of the words that this task meets first."""
+        split = regex.compile(pattern)
+        fixed = {w.decode("utf-8", "surrogateescape"): i for i, w in enumerate(known.value)}
+        code_of = dict(fixed)
+        out: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, codes, new, reset = zip(*out, strict=True)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in new]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), _byte_lists([w for x in new for w in x]))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), lists, pa.array(reset)], ["doc_id", "codes", "new", "reset"])
+
         for b in batches:
-            lists = _words(b)
-            coded = lists.flatten().dictionary_encode()
-            uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
-            per_row, bytes_of_new = np.zeros(len(b), np.int64), _byte_lists(pa.array([], pa.binary()))
-            if len(at):
-                lacking = (_places(known, _hashes(uniq)) < 0) & pc.less_equal(pc.binary_length(uniq), FOLD_BYTES).to_numpy(zero_copy_only=False)
-                where = np.flatnonzero(lacking)  # ids of a dictionary are in the order of first occurrence
-                new = uniq.take(pa.array(where))
-                fresh = np.array([w not in met for w in new.to_pylist()], bool)
-                new, where = new.filter(pa.array(fresh)), where[fresh]
-                met.update(new.to_pylist())
-                _, first = np.unique(at, return_index=True)
-                per_row += np.bincount(np.searchsorted(ends, first[where], side="right") - 1, minlength=len(b))
-                bytes_of_new = _byte_lists(new)
-            reset = np.zeros(len(b), bool)
-            if len(met) > REMEMBERED and len(b):
-                met, reset[-1] = set(), True
-            offsets = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, bytes_of_new), pa.array(reset)], ["doc_id", "words", "new", "reset"])
+            for doc, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
+                parts, new = [], []
+                for run in split_runs((text or b"").decode(), split):
+                    found = list(map(code_of.get, run))
+                    if None in found:
+                        for i, x in enumerate(found):
+                            if x is None:
+                                x = code_of.get(run[i])
+                                if x is None:
+                                    x = code_of[run[i]] = len(code_of)
+                                    new.append(run[i].encode())
+                                found[i] = x
+                    parts.append(np.array(found, np.int32).tobytes())
+                full = len(code_of) - len(fixed) > REMEMBERED
+                if full:
+                    code_of = dict(fixed)
+                out.append((doc, b"".join(parts), new, full))
+                held += len(out[-1][1]) + 8 * sum(map(len, new))
+                if len(out) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+                    yield flush()
+                    held = 0
+        if out:
+            yield flush()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (*known, starts, flat), ranks = shared.value
+        starts, flat, ranks = tables.value
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
         piece_len = np.array([len(x) for x in pieces], np.int64)
         piece_at, piece_bytes = np.cumsum(piece_len) - piece_len, np.frombuffer(b"".join(pieces), np.uint8)
-        own: dict[bytes, np.ndarray] = {}
+        ids = _Ids(starts, flat)
+
+        def decode(x: np.ndarray) -> np.ndarray:
+            return _gather(piece_bytes, piece_at[x], piece_len[x])
+
         for b in batches:
-            # The batches here need not be those of look_up: a word's ids come with, or before, its first row.
-            lists, n = _words(b), len(b)
-            resets = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False)).tolist()
-            cuts = sorted({0, n, *(r + 1 for r in resets)})
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                new = b.column(2).slice(lo, hi - lo).flatten()
-                ids, ends = new.flatten().to_numpy(zero_copy_only=False), _row_ends(new) if len(new) else np.zeros(1, np.int64)
-                for i in range(len(new)):
-                    x = ids[ends[i] : ends[i + 1]]
-                    own[b"".join([pieces[t] for t in x.tolist()])] = x
-                yield from _assemble(b.column(0).slice(lo, hi - lo), lists.slice(lo, hi - lo), known, starts, flat, own, ranks, piece_at, piece_len, piece_bytes)
-                if hi - 1 in resets:
-                    own = {}
-
-    found = words.mapInArrow(look_up, "doc_id long, words array<string>, new array<array<int>>, reset boolean")
-    folded = found.select("doc_id", "words", F.transform("new", lambda w: fold_merges(w, literal)).alias("ids"), "reset")
-    return folded.mapInArrow(put_together, "doc_id long, n_tokens long, ids binary, decoded binary")
-
-
-def _assemble(doc_ids, lists, known, starts, flat, own, ranks, piece_at, piece_len, piece_bytes) -> Iterator[pa.RecordBatch]:
-    coded = lists.flatten().dictionary_encode()
-    uniq, at, ends = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _row_ends(lists)
-    found = _places(known[0], _hashes(uniq))
-    same = pc.equal(known[1].take(pa.array(np.maximum(found, 0))), uniq).to_numpy(zero_copy_only=False) if len(known[1]) else False
-    found = np.where((found >= 0) & same, found, -1)
-    rest = np.flatnonzero(found < 0)
-    rows = [i if (i := own.get(w)) is not None else np.array(heap_merges(w, ranks), np.int32) for w in uniq.take(pa.array(rest)).to_pylist()]
-    rest_len = np.array([len(x) for x in rows], np.int64)
-    everything = np.concatenate([flat, *rows]).astype(np.uint32)
-    start, length = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
-    hit = found >= 0
-    start[hit], length[hit] = starts[found[hit]], starts[found[hit] + 1] - starts[found[hit]]
-    start[rest], length[rest] = len(flat) + np.cumsum(rest_len) - rest_len, rest_len
-    lo = 0
-    while lo < len(lists):  # some rows at a time
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + TOKENS_AT_ONCE, side="right")) - 1)
-        n_tokens, ids, text, at_row = [], [], [], lo
-        if hi == lo + 1:
-            got, decoded = [], []
-            for i in range(ends[lo], ends[hi], TOKENS_AT_ONCE):
-                w = at[i : min(i + TOKENS_AT_ONCE, ends[hi])]
-                x = _gather(everything, start[w], length[w])
-                got.append(x.astype("<u4").tobytes())
-                decoded.append(_gather(piece_bytes, piece_at[x], piece_len[x]).tobytes())
-            ids, text = [b"".join(got)], [b"".join(decoded)]
-            n_tokens = [len(ids[0]) // 4]
-        else:
-            w = at[ends[lo] : ends[hi]]
-            x = _gather(everything, start[w], length[w])
-            token_ends = np.concatenate(([0], np.cumsum(length[w])))[ends[lo : hi + 1] - ends[lo]]
-            byte_ends = np.concatenate(([0], np.cumsum(piece_len[x])))[token_ends].tolist()
-            raw, decoded = x.astype("<u4").tobytes(), _gather(piece_bytes, piece_at[x], piece_len[x]).tobytes()
-            token_ends = token_ends.tolist()
-            for i in range(hi - lo):
-                n_tokens.append(token_ends[i + 1] - token_ends[i])
-                ids.append(raw[4 * token_ends[i] : 4 * token_ends[i + 1]])
-                text.append(decoded[byte_ends[i] : byte_ends[i + 1]])
-        yield pa.RecordBatch.from_arrays([doc_ids.slice(at_row, hi - lo), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-        lo = hi
+            new, resets = b.column(2), b.column(3).to_pylist()
+            # Rows come in the order of the step before, so a word's ids come with the first row that has it.
+            row_of_word, out, pending, size = _row_ends(new), [], [], 0
+
+            def close() -> None:
+                if not pending:
+                    return
+                x, length = ids.of(np.concatenate(pending))
+                ends = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum([len(c) for c in pending])))]
+                decoded = decode(x)
+                at = np.concatenate(([0], np.cumsum(piece_len[x])))[ends].tolist()
+                raw, text, ends = x.astype("<u4").tobytes(), decoded.tobytes(), ends.tolist()
+                out.extend((ends[i + 1] - ends[i], raw[4 * ends[i] : 4 * ends[i + 1]], text[at[i] : at[i + 1]]) for i in range(len(pending)))
+                pending.clear()
+
+            flat_new = new.flatten()
+            word_ends, word_ids = _row_ends(flat_new) if len(flat_new) else np.zeros(1, np.int64), flat_new.flatten().to_numpy(zero_copy_only=False)
+            for i, raw in enumerate(b.column(1)):
+                lo, hi = row_of_word[i], row_of_word[i + 1]
+                if hi > lo:
+                    ends, x = word_ends[lo : hi + 1] - word_ends[lo], word_ids[word_ends[lo] : word_ends[hi]]
+                    if (x < 0).any():  # words that are too long for the fold came as they were
+                        each = [x[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+                        each = [np.array(heap_merges(w[1:].astype(np.uint8).tobytes(), ranks), np.int64) if w[0] < 0 else w for w in each]
+                        ends, x = np.concatenate(([0], np.cumsum([len(w) for w in each]))), np.concatenate(each)
+                    ids.add(ends, x)
+                codes = np.frombuffer(raw.as_buffer(), np.int32)
+                if len(codes) > TOKENS_AT_ONCE:
+                    close()
+                    runs = [ids.of(codes[j : j + TOKENS_AT_ONCE])[0] for j in range(0, len(codes), TOKENS_AT_ONCE)]
+                    out.append((sum(map(len, runs)), b"".join(x.astype("<u4").tobytes() for x in runs), b"".join(decode(x).tobytes() for x in runs)))
+                else:
+                    pending.append(codes)
+                    size += len(codes)
+                if resets[i] or size > TOKENS_AT_ONCE:
+                    close()
+                    size = 0
+                if resets[i]:
+                    ids.reset()
+            close()
+            if out:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    coded = rows.mapInArrow(code, "doc_id long, codes binary, new array<array<int>>, reset boolean")
+    folded = F.transform("new", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, literal)))
+    return coded.select("doc_id", "codes", folded.alias("new"), "reset").mapInArrow(put_together, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

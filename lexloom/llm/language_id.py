@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fraction, hash_unit, texts
+from ._common import broadcast_if_small, fit_on_executor, hash_unit, kept, texts, written
 
 ORDER = 3
 #: Rows that the fit uses at most, over all languages, and characters of a row.
@@ -29,11 +30,54 @@ UNKNOWN = "und"
 
 @dataclass
 class LanguageModel:
+    """The frozen counts; the tables of code lengths are worked out where they are used."""
+
     names: list[str]
     code: np.ndarray  # byte -> symbol; 0 stands for every byte never learnt
     symbols: int
-    context: np.ndarray  # packed last ORDER symbols -> context
-    bits: np.ndarray  # (context * symbols + symbol, language) -> code length in nats
+    index: list[np.ndarray]  # order -> sorted contexts, packed in base `symbols`
+    counts: list[list[tuple[np.ndarray, np.ndarray]]]  # language, order -> (context, symbol) packed, and their number
+
+    @cached_property
+    def base(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum([len(x) for x in self.index])))
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """(context * symbols + symbol, language) -> code length in nats."""
+        k, base = self.symbols, self.base
+        bits = np.empty((base[-1], k, len(self.names)), np.float32)
+        for lang, per in enumerate(self.counts):
+            lower = np.full((1, k), 1.0 / k)
+            for order, contexts in enumerate(self.index):
+                c = np.zeros((len(contexts), k))
+                packed, n = per[order]
+                row = np.searchsorted(contexts, packed // k)
+                ok = (row < len(contexts)) & (contexts[np.minimum(row, len(contexts) - 1)] == packed // k) if len(contexts) else np.zeros(len(packed), bool)
+                c[row[ok], packed[ok] % k] = n[ok]
+                up = lower if order == 0 else lower[np.searchsorted(self.index[order - 1], contexts % k ** (order - 1))]
+                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+                left = np.where(c > 0, 0.0, up)
+                mass = left.sum(1, keepdims=True)
+                escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
+                escape = np.where(mass > 0, escape, 0.0)
+                p = np.where(c > 0, (1 - escape) * c / np.maximum(total, 1), escape * left / np.where(mass > 0, mass, 1))
+                bits[base[order] : base[order + 1], :, lang] = -np.log(np.maximum(p, 1e-12))
+                lower = p
+        return bits.reshape(-1, len(self.names))
+
+    @cached_property
+    def context(self) -> np.ndarray:
+        """The longest context of the tree for each ORDER last symbols, packed."""
+        k = self.symbols
+        context = np.zeros(k**ORDER, np.int64)
+        last = np.arange(k**ORDER)
+        for order in range(1, ORDER + 1):
+            c, index = last % k**order, self.index[order]
+            row = np.searchsorted(index, c)
+            hit = (row < len(index)) & (index[np.minimum(row, len(index) - 1)] == c) if len(index) else np.zeros(len(c), bool)
+            context[hit] = self.base[order] + row[hit]
+        return context
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length of the whole text for each language."""
@@ -52,6 +96,8 @@ class LanguageModel:
 def fit_counts(samples: dict[str, list[bytes]]) -> LanguageModel:
     """The frozen model of each language's sample texts."""
     names = sorted(samples)
+    if not names:
+        return LanguageModel([], np.zeros(256, np.uint8), 1, [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * ORDER, [])
     seen = np.zeros(256, bool)
     for docs in samples.values():
         for t in docs:
@@ -86,54 +132,35 @@ def fit_counts(samples: dict[str, list[bytes]]) -> LanguageModel:
         # A context stays only if its suffix, one byte shorter, does.
         suffix = u % k ** (len(index) - 1)
         index.append(u[(n >= least) & np.isin(suffix, parent)])
-    base = np.concatenate(([0], np.cumsum([len(x) for x in index])))
-    bits = np.empty((base[-1], k, len(names)), np.float32)
-    for lang, per in enumerate(grams):
-        lower = np.full((1, k), 1.0 / k)
-        for order, contexts in enumerate(index):
-            c = np.zeros((len(contexts), k))
-            packed, n = per[order]
-            row = np.searchsorted(contexts, packed // k)
-            ok = (row < len(contexts)) & (contexts[np.minimum(row, len(contexts) - 1)] == packed // k) if len(contexts) else np.zeros(len(packed), bool)
-            c[row[ok], packed[ok] % k] = n[ok]
-            up = lower if order == 0 else lower[np.searchsorted(index[order - 1], contexts % k ** (order - 1))]
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            left = np.where(c > 0, 0.0, up)
-            mass = left.sum(1, keepdims=True)
-            escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
-            escape = np.where(mass > 0, escape, 0.0)
-            p = np.where(c > 0, (1 - escape) * c / np.maximum(total, 1), escape * left / np.where(mass > 0, mass, 1))
-            bits[base[order] : base[order + 1], :, lang] = -np.log(np.maximum(p, 1e-12))
-            lower = p
-    # The longest context of the tree for each three last symbols.
-    context = np.zeros(k**3, np.int32)
-    all3 = np.arange(k**3)
-    for order in range(1, ORDER + 1):
-        c = all3 % k**order
-        row = np.searchsorted(index[order], c)
-        hit = (row < len(index[order])) & (index[order][np.minimum(row, len(index[order]) - 1)] == c) if len(index[order]) else np.zeros(len(c), bool)
-        context[hit] = base[order] + row[hit]
-    return LanguageModel(names, code, k, context.astype(np.int64), bits.reshape(-1, len(names)))
+    return LanguageModel(names, code, k, index, grams)
 
 
 def fit_languages(docs: DataFrame) -> LanguageModel:
     """Learns from docs (doc_id, text, lang): FIT_ROWS rows, shared by the languages, of 1 to FIT_CHARS characters,
-    chosen by a hash. Rows with a null text or lang teach nothing."""
-    rows = docs.where("lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= FIT_CHARS)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = FIT_ROWS / max(1, len(counts))
-    share = F.create_map([F.lit(x) for lang, n in counts.items() for x in (lang, fraction(n, each))]) if counts else F.lit(None)
-    picked = rows.where(hash_unit("doc_id", "text") < share[F.col("lang")]).select("lang", "text").toPandas() if counts else None
-    return fit_counts({lang: sorted(t.encode() for t in picked.loc[picked["lang"] == lang, "text"]) for lang in counts})
-
-
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (default: doc_id), lang_pred, score (the chosen language's probability, all being equally
-    likely before) and bits_per_byte. Null texts, texts without a letter, and all texts if no language was learnt are
-    `und` with score 0. Texts are coded whole. An empty table gives an empty result; of tied languages the first by
-    name wins."""
+    chosen by a hash. Rows with a null text or lang teach nothing; from an empty table nothing is learnt. Of the trees'
+    contexts those seen once, and all but the MAX_CONTEXTS most frequent, are left out: texts then take more bits there,
+    in every language alike."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where("lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= FIT_CHARS)
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = FIT_ROWS / max(1, counts.count())
+    share = broadcast_if_small(counts.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share")))
+    picked = rows.join(share, "lang").where(hash_unit("id", "text") < F.col("share")).select("lang", "text")
+
+    def fitted(frame):
+        return fit_counts({lang: sorted(t.encode() for t in part["text"]) for lang, part in frame.groupby("lang")})
+
+    return fit_on_executor(picked, fitted)
+
+
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, outputs: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """docs' columns `keep` (default: doc_id), whatever their names, and `outputs`: the language, the score (the chosen
+    language's probability, all being equally likely before) and the bits a byte. Null texts, texts without a letter,
+    and all texts if no language was learnt are `und` with score 0. Texts are coded whole. Repeated rows each give a
+    row; an empty table gives an empty result; of tied languages the first by name wins."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
+    columns, names, ddl = kept(docs, keep)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -151,9 +178,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 pred.append(m.names[best])
                 score.append(float(1 / np.exp(np.clip(n[best] - n, -700, 0)).sum()))
                 per.append(float(n[best] / np.log(2) / len(text)))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())], [*keep, "__pred", "__score", "__per"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())], [*names, "__pred", "__score", "__per"])
 
-    frame = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)])
-    out = frame.mapInArrow(scores, f"{schema}, __pred string, __score double, __per double")
-    return out.withColumnsRenamed({"__pred": "lang_pred", "__score": "score", "__per": "bits_per_byte"})
+    text = F.col("text").cast("string")
+    frame = docs.select(*columns, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    return frame.mapInArrow(scores, f"{ddl}, __pred string, __score double, __per double").toDF(*keep, *outputs)

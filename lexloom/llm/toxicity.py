@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fraction, hash_unit, texts
+from ._common import fit_on_executor, fraction, hash_unit, kept, texts
 
 #: Labelled rows of each class, and characters of a row, that the fit uses at most.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 30_000
@@ -165,24 +165,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     share = F.when(F.col("toxic") == 1, fraction(counts.get(1, 0), FIT_TOXIC)).otherwise(fraction(counts.get(0, 0), FIT_ORDINARY))
     picked = known.where(hash_unit("id") < share)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id").where(F.length("text") <= FIT_CHARS)
-    rows = rows.select("text", "toxic", (hash_unit("id", F.lit("part")) < 0.6).alias("trains"), F.xxhash64("id", "text").alias("o")).toPandas().sort_values("o")
+    rows = rows.select("text", "toxic", (hash_unit("id", F.lit("part")) < 0.6).alias("trains"), F.xxhash64("id", "text").alias("o"))
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    return fit([(t, int(y), bool(d)) for t, y, d in zip(rows["text"], rows["toxic"], rows["trains"], strict=True)], prior)
 
+    def fitted(frame):
+        frame = frame.sort_values(["o", "text"])
+        return fit([(t, int(y), bool(d)) for t, y, d in zip(frame["text"], frame["toxic"], frame["trains"], strict=True)], prior)
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (default: doc_id) and score (0 to 1). Texts are scored whole; null and empty ones score
-    as texts without a hit. Repeated rows each give a row; an empty table gives an empty result."""
+    return fit_on_executor(rows, fitted)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, score: str = "score") -> DataFrame:
+    """docs' columns `keep` (default: doc_id), whatever their names, and `score` (0 to 1). Texts are scored whole; null
+    and empty ones score as texts without a hit. Repeated rows each give a row; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
+    columns, names, ddl = kept(docs, keep)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         gain = m.gains()
         for b in batches:
             out = [m.score(m.features(t.decode("utf-8", "replace") if t else None, gain)) for t in texts(b, "__text")]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(out, pa.float64())], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(out, pa.float64())], [*names, "__score"])
 
-    frame = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(scores, f"{schema}, __score double").withColumnRenamed("__score", "score")
+    frame = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    return frame.mapInArrow(scores, f"{ddl}, __score double").toDF(*keep, score)

@@ -211,7 +211,7 @@ def test_pipeline_drops_what_the_operator_calls_toxic(spark, monkeypatch):
 
     docs = spark.createDataFrame([(i, x) for i, x in enumerate((0.1, 0.29, 0.3, 0.45, 0.5, 0.9))], "doc_id long, s double")
     monkeypatch.setattr(pipeline_stages, "fit_toxicity", lambda docs, labels: None)
-    monkeypatch.setattr(pipeline_stages, "score_toxicity", lambda docs, model, keep: docs.withColumn("score", F.col("s")))
+    monkeypatch.setattr(pipeline_stages, "score_toxicity", lambda docs, model, keep, score: docs.withColumn(score, F.col("s")))
     monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: None)
     assert [r.doc_id for r in pipeline_stages.drop_toxic(spark, docs, "").collect()] == [0, 1]
 
@@ -242,6 +242,7 @@ def _sources(spark):
 
 def test_mixing_tail_of_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
     got = mixing.mix(_sources(spark)).collect()
     assert all(r.probability > 0 for r in got) and len({r.source for r in got}) == 9
 
@@ -249,15 +250,31 @@ def test_mixing_tail_of_sources(spark, monkeypatch):
 def test_mixing_as_tables(spark, monkeypatch):
     docs = _sources(spark)
     given = {"source": {"s0": 0.5, "s8": 0.2, "s3": 0.3, "none": 0.4}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"none": 1.0}}
-    for targets, keep in ((None, 0.9), (given, 0.3), (given, 0.99)):
+    whole = mixing.mix(docs, keep=0.9).collect()
+    assert abs(sum(r.probability * r.n_tokens for r in whole) / sum(r.n_tokens for r in whole) - 0.9) < 1e-6
+    assert max(r.probability for r in whole) == 1
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    for targets, keep in ((None, 0.9), (given, 0.3)):
         rows = []
         for limit in (200_000, 3):
             monkeypatch.setattr(mixing, "DRIVER_CELLS", limit)
             rows.append(sorted((r.doc_id, r.weight, r.probability, r.sampled, r.n_tokens) for r in mixing.mix(docs, targets, keep=keep).collect()))
         assert len(rows[0]) == len(rows[1]) and np.allclose(np.array(rows[0], float), np.array(rows[1], float), rtol=1e-6, atol=1e-9)
-        if targets is None:
-            assert abs(sum(r[2] * r[4] for r in rows[1]) / sum(r[4] for r in rows[1]) - keep) < 1e-6
-            assert max(r[2] for r in rows[1]) == 1
+
+
+def test_mixing_meets_what_the_tokens_allow():
+    """Sampled margins: targets that are attainable are met, a value that asks for too much is taken whole."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    cells = pd.DataFrame([(s, lang, rng.integers(50, 150) * (1 if s else 20)) for s in range(4) for lang in "xyz"], columns=["source", "lang", "tokens"])
+    total, keep = cells["tokens"].sum(), 0.6
+    targets = {"source": {0: 0.5, 1: 0.2, 2: 0.2, 3: 0.1}, "lang": {"x": 0.45, "y": 0.3, "z": 0.25}}
+    kept = mixing.rake(cells, targets, keep) * keep * cells["tokens"]
+    assert abs(kept.sum() / total - keep) < 1e-4 and (kept <= cells["tokens"] * (1 + 1e-9)).all()
+    have = cells.groupby("source")["tokens"].sum()
+    assert all(abs(kept[cells["source"] == s].sum() - have[s]) < 1e-3 * have[s] for s in (1, 2, 3))
+    assert all(abs(kept[cells["lang"] == v].sum() / kept.sum() - t) < 0.01 for v, t in targets["lang"].items())
 
 
 def test_image_copies(spark):
