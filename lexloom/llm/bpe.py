@@ -24,7 +24,7 @@ from ._common import hash_unit, texts
 
 #: Words, and bytes of each, of the dictionary that all tasks share: it only saves folds, so the words are taken from
 #: the texts of a hash share of the documents; results never depend on it.
-DICTIONARY_WORDS, DICTIONARY_BYTES, DICTIONARY_SHARE = 400_000, 40, 0.2
+DICTIONARY_WORDS, DICTIONARY_BYTES, DICTIONARY_SHARE = 250_000, 40, 0.2
 #: The fold takes time with the square of a word's length; longer words merge over a heap instead.
 FOLD_BYTES = 400
 #: Buckets of the literal rank map; a power of two.
@@ -33,7 +33,7 @@ BUCKETS = 1 << 16
 BITS = 20
 NO_RANK = MASK = (1 << BITS) - 1
 #: Words that a task remembers before it begins anew; characters split, and words put together, at once.
-REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 400_000, 1 << 20, 200_000
+REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 250_000, 1 << 20, 200_000
 #: Rows, and bytes of codes, of a batch between the steps of a task.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
@@ -48,11 +48,15 @@ def _long(x: int):
 
 
 class RankMap:
-    """Ranks of all pairs of tokens that merge, as one literal: buckets of left << 2 * BITS | right << BITS | rank."""
+    """Ranks of all pairs of tokens that merge, as one literal: buckets of left << 2 * BITS | right << BITS | rank.
 
-    def __init__(self, ranks: dict[bytes, int]):
+    The literal comes by a session variable of the rank file's digest: set from a query it is one block of bytes, which
+    plans neither print nor take apart when they are sent to tasks, and it is folded into them like any other literal."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         if max(ranks.values()) >= NO_RANK:
             raise ValueError(f"token ids must be below {NO_RANK}")
+        self.name = "lexloom_ranks_" + hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()[:16]
         table: list[list[int]] = [[] for _ in range(BUCKETS)]
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -60,11 +64,11 @@ class RankMap:
                 if a is not None and b is not None:
                     table[((a << 9) ^ (a >> 3) ^ b) & (BUCKETS - 1)].append((a << 2 * BITS) | (b << BITS) | rank)
         two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
-        literal = lambda x, t: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), t)
-        # A foldable from_json turns into a literal when the plan is optimised.
-        self.of_byte = literal([ranks[bytes([i])] for i in range(256)], "array<bigint>")
-        self.of_bytes = literal(two, "array<bigint>")
-        self.table = literal(table, "array<array<bigint>>")
+        kinds = {"byte": ([ranks[bytes([i])] for i in range(256)], "ARRAY<BIGINT>"), "bytes": (two, "ARRAY<BIGINT>"), "table": (table, "ARRAY<ARRAY<BIGINT>>")}
+        for kind, (values, ddl) in kinds.items():
+            spark.sql(f"DECLARE OR REPLACE VARIABLE {self.name}_{kind} {ddl}")
+            spark.sql(f"SET VAR {self.name}_{kind} = (SELECT from_json(:json, '{ddl}'))", {"json": json.dumps(values, separators=(",", ":"))})
+        self.of_byte, self.of_bytes, self.table = (F.expr(f"session.{self.name}_{kind}") for kind in kinds)
 
     def rank(self, a, b):
         """The rank of two neighbouring tokens (longs); NO_RANK if they don't merge, null if one is null."""
@@ -242,7 +246,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """
     spark: SparkSession = docs.sparkSession
     ranks = read_ranks(rank_path)
-    literal = RankMap(ranks)
+    literal = RankMap(spark, ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words, starts, flat = _dictionary(rows.select("text"), pattern, literal)
     known, tables = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((starts, flat, ranks))
@@ -251,8 +255,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as codes of its words, with the bytes of the words that this task meets first."""
         split = regex.compile(pattern)
-        fixed = {w.decode("utf-8", "surrogateescape"): i for i, w in enumerate(known.value)}
-        code_of = dict(fixed)
+        code_of = {w.decode(): i for i, w in enumerate(known.value)}
+        fixed, own = len(code_of), []
         out: list[tuple] = []
         held = 0
 
@@ -274,12 +278,15 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                                 x = code_of.get(run[i])
                                 if x is None:
                                     x = code_of[run[i]] = len(code_of)
+                                    own.append(run[i])
                                     new.append(run[i].encode())
                                 found[i] = x
                     parts.append(np.array(found, np.int32).tobytes())
-                full = len(code_of) - len(fixed) > REMEMBERED
+                full = len(code_of) - fixed > REMEMBERED
                 if full:
-                    code_of = dict(fixed)
+                    for w in own:
+                        del code_of[w]
+                    own = []
                 out.append((doc, b"".join(parts), new, full))
                 held += len(out[-1][1]) + 8 * sum(map(len, new))
                 if len(out) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
@@ -303,7 +310,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         for b in batches:
             new, resets = b.column(2), b.column(3).to_pylist()
             # Rows come in the order of the step before, so a word's ids come with the first row that has it.
-            row_of_word, out, pending, size = _row_ends(new), [], [], 0
+            row_of_word, out, pending, size, given = _row_ends(new), [], [], 0, 0
 
             def close() -> None:
                 if not pending:
@@ -340,9 +347,13 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     size = 0
                 if resets[i]:
                     ids.reset()
-            close()
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n_tokens", "ids", "decoded"])
+                if i == len(new) - 1:
+                    close()
+                if out and not pending:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(given, len(out)), *cols], ["doc_id", "n_tokens", "ids", "decoded"])
+                    given += len(out)
+                    out.clear()
 
     coded = rows.mapInArrow(code, "doc_id long, codes binary, new array<array<int>>, reset boolean")
     folded = F.transform("new", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, literal)))
