@@ -277,51 +277,63 @@ def test_mixing_meets_what_the_tokens_allow():
     assert all(abs(kept[cells["lang"] == v].sum() / kept.sum() - t) < 0.01 for v, t in targets["lang"].items())
 
 
+IMAGES = "image_id long, width int, height int, pixels binary"
+
+
+def _image(i, a):
+    return i, a.shape[1], a.shape[0], bytearray(np.ascontiguousarray(a).tobytes())
+
+
 def test_image_copies(spark):
-    rows = []
-    for i in range(12):
-        a = image_copies.render(i * 77 + 5)
-        rows.append((i, 64, 64, bytearray(a.tobytes())))
-    c = np.clip(image_copies.render(5)[5:, 4:].astype(int) + 10, 0, 255).astype(np.uint8)
-    rows += [(100, c.shape[1], c.shape[0], bytearray(c.tobytes())), (101, 64, 64, None), (102, 64, 64, bytearray(64 * 64)), (103, 64, 64, rows[3][3])]
-    got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
-    assert got[100] == 0 and got[103] == 3 and got[101] == 101 and got[102] == 102 and got[7] == 7
+    drawn = [image_copies.render(i * 77 + 5) for i in range(12)]
+    rows = [_image(i, a) for i, a in enumerate(drawn)]
+    rows += [_image(100, image_copies.edited(drawn[0], 0, 5)), (101, 64, 64, None), (102, 64, 64, bytearray(64 * 64)), (103, 64, 64, rows[3][3]), (104, 5, 64, rows[3][3]), (None, 64, 64, rows[4][3])]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], IMAGES + ", content string")
+    got = image_copies.image_copies(frame).collect()
+    of = {r.image_id: r.component_id for r in got}
+    assert len(got) == len(rows) and of[100] == 0 and of[103] == 3 and of[101] == 101 and of[102] == 102 and of[104] == 104 and of[7] == 7 and of[None] == 4
+    assert {r.image_id: r.n_links for r in got}[0] == 1
+    assert image_copies.image_copies(frame.limit(0)).count() == 0
+
+
+def _half(a):
+    return np.rint((a[::2, ::2].astype(float) + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4).astype(np.uint8)
+
+
+def test_image_copies_by_kind_of_edit(spark):
+    """Recall of each kind of edit, and that unlike images stay apart."""
+    n = 40
+    drawn = [image_copies.render(i * 991 + 5, 96) for i in range(n)]
+    noise = lambda a, i: np.clip(a.astype(int) + np.random.default_rng(i).integers(-3, 4, a.shape), 0, 255).astype(np.uint8)
+    kinds = [noise, lambda a, i: a[20:, 12:84], lambda a, i: np.rot90(a), lambda a, i: _half(a), lambda a, i: (a // 2 + 50).astype(np.uint8)]
+    rows = [_image(i, a) for i, a in enumerate(drawn)] + [_image(1000 * (k + 1) + i, f(a, i)) for k, f in enumerate(kinds) for i, a in enumerate(drawn)]
+    got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, IMAGES)).collect()}
+    for k in range(len(kinds)):
+        assert sum(got[1000 * (k + 1) + i] == got[i] for i in range(n)) >= 0.95 * n
+    assert len({got[i] for i in range(n)}) == n
 
 
 def _image_links(images):
-    """Pairs of image ids with enough votes, by brute force."""
-    found = []
-    for _, w, h, px in images:
-        a = np.frombuffer(bytes(px), np.uint8).reshape(h, w)
-        content = image_copies.xxhash.xxh3_64_intdigest(bytes(px) + f"{w}x{h}".encode())
-        pieces = {(k, int(v), *at) for *at, bits in image_copies.descriptors(a) for k, v in enumerate(np.frombuffer(bits, np.int64))}
-        found.append((content - (content >> 63 << 64), pieces))
-    out = []
-    for i, (c, p) in enumerate(found):
-        for j, (e, q) in enumerate(found):
-            votes = {}
-            for k, v, s, x, y, g in p if c > e else ():
-                for k2, v2, s2, x2, y2, g2 in q:
-                    if (k, v) == (k2, v2):
-                        t, r = (g - g2) * np.pi / 8, s / s2
-                        at = (x - r * (np.cos(t) * x2 - np.sin(t) * y2)) / 4, (y - r * (np.sin(t) * x2 + np.cos(t) * y2)) / 4
-                        votes.setdefault(((g - g2) % 16, r, *(int(np.floor(abs(o) + 0.5) * np.sign(o)) for o in at)), set()).add((x, y))
-            if any(len(x) >= image_copies.MIN_VOTES for x in votes.values()):
-                out += [i, j]
-    return [out.count(i) for i in range(len(images))]
+    """How many other images each image links with, by brute force over all pairs."""
+    found = [image_copies.describe(np.frombuffer(bytes(px), np.uint8).reshape(1, h, w))[0] for _, w, h, px in images]
+    keys = [set(np.unique(image_copies._pieces(d)).tolist()) for d in found]
+    out = [0] * len(images)
+    for i in range(len(images)):
+        for j in range(i):
+            if keys[i] & keys[j] and image_copies.placements(found[i], found[j]) >= image_copies.MIN_VOTES:
+                out[i], out[j] = out[i] + 1, out[j] + 1
+    return out
 
 
 def test_image_copies_meet_in_pairs(spark, monkeypatch):
     rows = []
-    for i in range(30):
-        a = image_copies.render(i * 31 + 9).astype(int)
-        rows.append((len(rows), 64, 64, bytearray(a.astype(np.uint8).tobytes())))
-        for step in (2, 4, 6, 8) if i < 4 else ():
-            c = np.clip(a[step:, step:] + step, 0, 255).astype(np.uint8)
-            rows.append((len(rows), c.shape[1], c.shape[0], bytearray(c.tobytes())))
+    for i in range(20):
+        a = image_copies.render(i * 31 + 9)
+        rows.append(_image(len(rows), a))
+        rows += [_image(len(rows) + k, a[step:, step:] + step) for k, step in enumerate((2, 4, 6) if i < 4 else ())]
     want = _image_links(rows)
     assert sorted(want)[-4] >= 3  # groups whose members are all compared
-    images = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    images = spark.createDataFrame(rows, IMAGES)
     for common in (64, 1):
         monkeypatch.setattr(image_copies, "COMMON", common)
         assert [r.n_links for r in image_copies.image_copies(images).orderBy("image_id").collect()] == want
