@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import broadcast_if_small, written
+
+#: A node is a hub with more edges than this share of all, and than this number: so at most 1 / HUB_SHARE nodes are.
+HUB_SHARE, HUB_EDGES = 1e-4, 1000
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,8 +18,15 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("edges")), "cc-least")
+    # A hub's edges would meet its minimum in one task. Hubs are few, as each has HUB_SHARE of all edges or more: their
+    # minima go to the edges; the others' edges are at most that share of a join.
+    total = least.agg(F.sum("edges")).first()[0] or 0
+    bound = max(HUB_EDGES, int(total * HUB_SHARE))
+    hubs, rest = least.where(F.col("edges") > bound).select("u", "m"), least.where(F.col("edges") <= bound).select("u", "m")
+    joined = both.join(broadcast_if_small(rest), "u")
+    if not hubs.isEmpty():
+        joined = joined.unionByName(both.join(F.broadcast(hubs), "u"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
