@@ -51,6 +51,13 @@ def texts(batch: pa.RecordBatch, name: str = "text"):
         yield x.as_py()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows: what a step works out at once."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def longs(values) -> pa.Array:
     """uint64 or int64 numbers as Arrow int64, bits kept."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, longs, texts, written
+from ._common import broadcast_if_small, longs, slices, texts, written
 from .components import connected_components
 from .shingles import shingle_set, signature
 
@@ -24,6 +24,8 @@ from .shingles import shingle_set, signature
 #: Those of two or more sets come last, by their number; of more than MAX_FREQUENT such shingles (9 bytes each) only the
 #: most frequent do. The order decides how much is compared, never what links.
 REGION, MAX_FREQUENT = 0.36, 3_000_000
+#: Sets whose index is searched first in a block; all are searched after that, but for the largest component's.
+LEADERS = 8
 #: Shingles that one task holds at once; a larger block is dealt out as pairs of chunks.
 BLOCK_SHINGLES = 6_000_000
 
@@ -38,7 +40,7 @@ def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             new = []
             for t in texts(b):
                 h = shingle_set(t, k)
@@ -84,7 +86,7 @@ def _postings(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.
     """Member rows (doc set) of each document, and the postings of each new set of this task."""
     done: set[int] = set()
     names = ["k", "sig", "n", "doc", "member"]
-    for b in batches:
+    for b in slices(batches):
         ids = b.column(0).to_pylist()
         ks, sigs, ns = [], [], []
         msig, mn = [], []
@@ -149,14 +151,11 @@ class _Union:
 
 
 def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of sorted lists with their number of occurrences: a heap for few entries, one sort for many."""
-    total = sum(map(len, lists))
-    if total <= 64:
-        out: dict[int, int] = {}
-        for d in heapq.merge(*[x.tolist() for x in lists]):
-            out[d] = out.get(d, 0) + 1
-        return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
-    return np.unique(np.concatenate(lists), return_counts=True)
+    """Documents of short sorted lists, merged over a heap, with their number of occurrences."""
+    out: dict[int, int] = {}
+    for d in heapq.merge(*[x.tolist() for x in lists]) if len(lists) > 1 else [d for x in lists for d in x.tolist()]:
+        out[d] = out.get(d, 0) + 1
+    return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
 
 
 def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,32 +183,41 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set its component's least index, links being a Jaccard similarity of percent or more."""
     m, uf = len(sets), _Union(len(sets))
     linked = lambda both, x, y: 100 * both >= percent * (len(x) + len(y) - both)
-    if m == 2:
-        if linked(len(np.intersect1d(*sets, assume_unique=True)), *sets):
-            uf.join(0, 1)
-        return [uf.find(i) for i in range(m)]
     sizes = np.array([len(s) for s in sets])
     tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
-    own = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
     # Tokens of one set alone cannot add to an overlap, and a set with too few others links with nothing.
     many = np.bincount(flat, minlength=len(tokens)) > 1
-    shared = [x[many[x]] for x in own]
+    shared = [x[many[x]] for x in (flat[e - n : e] for e, n in zip(ends, sizes, strict=True))]
     need = [_need(int(n), percent) for n in sizes]
     able = [i for i in range(m) if len(shared[i]) >= need[i]]
-    mark = np.zeros(len(tokens), bool)
-    # Most copies of one text link to its first: a few leaders settle them in linear time.
+    none = np.empty(0, np.int64)
+
+    def search(i: int, lists: list[np.ndarray]) -> bool:
+        joined = False
+        docs, hits = divide_skip(lists, need[i])
+        for j, both in zip(docs.tolist(), hits.tolist(), strict=True):
+            if j != i and linked(both, sets[i], sets[j]):
+                uf.join(i, j)
+                joined = True
+        return joined
+
+    # Most copies of one text link to its first, so an index of a few leaders settles them with short lists.
     leaders: list[int] = []
+    index: dict[int, list[int]] = {}
     for i in able:
-        mark[shared[i]] = True
-        alone = True
-        for j in leaders[-8:]:
-            if uf.find(i) != uf.find(j) and linked(int(mark[shared[j]].sum()), own[i], own[j]):
-                uf.join(i, j)
-                alone = False
-        mark[shared[i]] = False
-        if alone:
-            leaders.append(i)
+        mine = shared[i].tolist()
+        if leaders and search(i, [np.array(index[t]) if t in index else none for t in mine]):
+            continue
+        leaders.append(i)
+        for t in mine:
+            index.setdefault(t, []).append(i)
+        if len(leaders) > LEADERS:
+            old = leaders.pop(0)
+            for t in shared[old].tolist():
+                del index[t][0]
+                if not index[t]:
+                    del index[t]
     roots = np.array([uf.find(i) for i in able])
     kinds, sizes_of = np.unique(roots, return_counts=True)
     if len(kinds) <= 1:
@@ -221,12 +229,8 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     doc_of, bounds = doc_of[order], np.searchsorted(of_able[order], np.arange(len(tokens) + 1))
     largest = kinds[np.argmax(sizes_of)]
     for i, root in zip(able, roots.tolist(), strict=True):
-        if root == largest:
-            continue
-        docs, hits = divide_skip([doc_of[bounds[t] : bounds[t + 1]] for t in shared[i].tolist()], need[i])
-        for j, both in zip(docs.tolist(), hits.tolist(), strict=True):
-            if j != i and linked(both, own[i], own[j]):
-                uf.join(i, j)
+        if root != largest:
+            search(i, [doc_of[bounds[t] : bounds[t + 1]] for t in shared[i].tolist()])
     return [uf.find(i) for i in range(m)]
 
 
@@ -291,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks = written(tasks.select(F.col("doc").alias("id"), "sig", "tasks"), "tasks")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sigs, out = b.column(1).to_pylist(), []
             for i, text in enumerate(texts(b)):
                 h = shingle_set(text, k)

@@ -136,7 +136,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_ev
     ids with the largest inner products of floor(scale * x), ties to the smaller id; all rows if there are fewer.
 
     Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part; of vectors of
-    unlike length the shorter counts as filled with zeros. Components beyond the range of a long fail the job. Repeated
+    unlike length the shorter counts as filled with zeros. Vectors whose squared norm reaches 2^62 fail the job, as scores would leave the range of a long. Repeated
     candidate rows each count; a repeated query is answered once. An empty table gives an empty result.
     Queries are a hundredth of the rows; each shard of SHARD_ROWS vectors gets all of them, in a stream.
     """
@@ -146,6 +146,11 @@ def exact_top_k(vectors: DataFrame, k: int = 10, scale: float = 1024.0, query_ev
     kept = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, finite), F.lit(False)))
     whole = kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
     whole = written(whole, "vectors")
+    # Scores are sums of products of longs: vectors whose norms would let one leave that range fail the job.
+    norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    largest = whole.agg(F.max(norm)).first()[0] or 0.0
+    if largest >= 2.0**62:
+        raise ValueError(f"vectors are too large for integer scores: the largest squared norm is {largest:g}")
     shards = max(1, -(-whole.count() // SHARD_ROWS))
     sharded = whole.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     queries = whole.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])

@@ -32,7 +32,7 @@ THRESHOLDS = (2, 3, 4, 5, 6)
 LEVEL = 3
 TAIL = b"\n== window of one word ==\n"
 #: Windows whose gain a task remembers before it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -320,7 +320,7 @@ def _image_links(images):
     out = [0] * len(images)
     for i in range(len(images)):
         for j in range(i):
-            if keys[i] & keys[j] and image_copies.placements(found[i], found[j]) >= image_copies.MIN_VOTES:
+            if len(keys[i] & keys[j]) >= image_copies.MIN_SHARED and image_copies.placements(found[i], found[j]) >= image_copies.MIN_VOTES:
                 out[i], out[j] = out[i] + 1, out[j] + 1
     return out
 
