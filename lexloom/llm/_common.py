@@ -73,6 +73,19 @@ def hash_unit(*cols) -> F.Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / F.lit(float(1 << 52))
 
 
+def _give_back() -> None:
+    """Hands freed memory back, as a worker outlives its task."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
 def fit_on_executor(rows: DataFrame, fit: Callable[[pd.DataFrame], object]):
     """fit of all rows as one pandas frame, run in a task, so that the driver holds the result alone. Only for rows
     whose number and size the caller has bounded."""
@@ -83,6 +96,8 @@ def fit_on_executor(rows: DataFrame, fit: Callable[[pd.DataFrame], object]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = [b.to_pandas() for b in batches]
         got = fit(pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=names))
+        frames.clear()
+        _give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["model"])
 
     return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])

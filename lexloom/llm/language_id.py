@@ -23,8 +23,8 @@ ORDER = 3
 FIT_ROWS, FIT_CHARS = 8000, 10_000
 #: Contexts, over all orders, that stay in the trees; the rarest go first.
 MAX_CONTEXTS = 20_000
-#: Bytes of a text coded at once.
-RUN = 1 << 20
+#: Bytes of a text coded, and sample texts counted, at once.
+RUN, TEXTS_AT_ONCE = 1 << 20, 200
 UNKNOWN = "und"
 
 
@@ -108,15 +108,20 @@ def fit_counts(samples: dict[str, list[bytes]]) -> LanguageModel:
     # Counts of (context, symbol) for each order, packed as numbers in base k.
     grams: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for name in names:
-        runs = [np.concatenate((np.zeros(ORDER, np.int64), code[np.frombuffer(t, np.uint8)].astype(np.int64))) for t in samples[name]]
-        s = np.concatenate(runs) if runs else np.zeros(ORDER, np.int64)
-        real = np.concatenate([np.arange(len(r)) >= ORDER for r in runs]) if runs else np.zeros(ORDER, bool)
-        per, packed = [], s.copy()
-        at = np.flatnonzero(real)
-        for order in range(ORDER + 1):
-            if order:
-                packed = packed[: len(s)] + np.concatenate((np.zeros(order, np.int64), s[:-order])) * k**order
-            per.append(np.unique(packed[at], return_counts=True))
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
+        for lo in range(0, len(samples[name]), TEXTS_AT_ONCE):
+            runs = [np.concatenate((np.zeros(ORDER, np.int64), code[np.frombuffer(t, np.uint8)].astype(np.int64))) for t in samples[name][lo : lo + TEXTS_AT_ONCE]]
+            s = np.concatenate(runs)
+            at = np.flatnonzero(np.concatenate([np.arange(len(r)) >= ORDER for r in runs]))
+            packed = s.copy()
+            for order in range(ORDER + 1):
+                if order:
+                    packed += np.concatenate((np.zeros(order, np.int64), s[:-order])) * k**order
+                parts[order].append(np.unique(packed[at], return_counts=True))
+        per = []
+        for found in parts:
+            grams_of, inv = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            per.append((grams_of, np.bincount(inv, np.concatenate([n for _, n in found])).astype(np.int64)))
         grams.append(per)
     # The contexts of each order that any language has, the most frequent up to the bound.
     freq = []

@@ -132,13 +132,16 @@ def _grams(word: str) -> set[str]:
 
 def fit(rows: list[tuple[str, int, bool]], prior: float) -> ToxicityModel:
     """rows: (text, toxic, whether it trains dictionaries; else it calibrates). prior: the share of toxic rows."""
-    split = lambda toxic: _spread([windows(t) for t, y, d in rows if d and y == toxic])
+    word: dict[str, str] = {}  # each word is held once
+    split = lambda toxic: _spread([[word.setdefault(w, w) for w in windows(t)] for t, y, d in rows if d and y == toxic])
     bad, good = split(1), split(0)
     of_bad, of_good = Counter(), Counter()
-    for c, docs in ((of_bad, bad), (of_good, good)):
-        for ws in docs:
-            c.update(set().union(*map(_grams, set(ws))))
-    rare = {g for g, n in of_bad.items() if n >= max(MIN_ROWS, MIN_SHARE * len(bad)) and n / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
+    for ws in bad:
+        of_bad.update(set().union(*map(_grams, set(ws))))
+    able = {g for g, n in of_bad.items() if n >= max(MIN_ROWS, MIN_SHARE * len(bad))}
+    for ws in good:
+        of_good.update(able.intersection(*[set().union(*map(_grams, set(ws)))]))
+    rare = {g for g in able if of_bad[g] / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
     marked = [w for ws in bad for w in ws if not rare.isdisjoint(_grams(w))]
     ordinary = _train([" ".join(ws[i : i + 12]).encode() for ws in good for i in range(0, len(ws), 12)][:60_000], ORDINARY_DICT)
     toxic = _train([f" {w} ".encode() for w in sorted(marked)], TOXIC_DICT)
