@@ -95,7 +95,7 @@ class LanguageModel:
 
 def fit_counts(samples: dict[str, list[bytes]]) -> LanguageModel:
     """The frozen model of each language's sample texts."""
-    names = sorted(samples)
+    names = sorted(name for name, docs in samples.items() if docs)
     if not names:
         return LanguageModel([], np.zeros(256, np.uint8), 1, [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * ORDER, [])
     seen = np.zeros(256, bool)

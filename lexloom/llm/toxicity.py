@@ -140,7 +140,7 @@ def fit(rows: list[tuple[str, int, bool]], prior: float) -> ToxicityModel:
         of_bad.update(set().union(*map(_grams, set(ws))))
     able = {g for g, n in of_bad.items() if n >= max(MIN_ROWS, MIN_SHARE * len(bad))}
     for ws in good:
-        of_good.update(able.intersection(*[set().union(*map(_grams, set(ws)))]))
+        of_good.update(able & set().union(*map(_grams, set(ws))))
     rare = {g for g in able if of_bad[g] / max(1, len(bad)) >= MIN_RATIO * (of_good[g] + 0.5) / max(1, len(good))}
     marked = [w for ws in bad for w in ws if not rare.isdisjoint(_grams(w))]
     ordinary = _train([" ".join(ws[i : i + 12]).encode() for ws in good for i in range(0, len(ws), 12)][:60_000], ORDINARY_DICT)
