@@ -47,7 +47,7 @@ def state_key(law: Column, number: Column, suffix: Column) -> Column:
 def slug_of_dir(name: Column) -> Column:
     """The page slug of a directory: zero padding off, suffix kept; null for other names."""
     number = F.regexp_extract(name, r"^art-(\d+)([a-z]*)$", 1)
-    return F.when(number != "", F.concat(F.lit("art-"), F.try_to_number(number, F.lit("9999999999")).cast("long").cast("string"), F.regexp_extract(name, r"^art-(\d+)([a-z]*)$", 2)))
+    return F.when(number != "", F.concat(F.lit("art-"), F.regexp_replace(number, r"^0+(?=\d)", ""), F.regexp_extract(name, r"^art-(\d+)([a-z]*)$", 2)))
 
 
 def fedlex_url(eli: Column, number: Column, suffix: Column) -> Column:

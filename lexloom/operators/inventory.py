@@ -65,7 +65,7 @@ def scaffold(candidates: DataFrame, metas: DataFrame, files: DataFrame) -> tuple
     wanted = candidates.dropDuplicates(key).join(F.broadcast(laws(candidates.sparkSession).select("law", "sr_number", "eli")), "law", "left")
     title = T.default_title(F.col("title"), F.col("law"), F.col("number"), F.col("suffix"))
     wanted = wanted.select(*key, title.alias("title"), F.coalesce("sr_number", F.lit("")).alias("sr_number"), T.fedlex_url(F.col("eli"), F.col("number"), F.col("suffix")).alias("fedlex_url"))
-    created = wanted.join(metas, key, "left_anti")
+    created = wanted.join(metas, key, "left_anti").withColumn("absatz_count", F.lit(1))
     new = wanted.select(*key, F.col("title").alias("new_title"))
     updated = metas.join(new, key, "left").withColumn("title", F.when(F.col("new_title").isNotNull() & (F.coalesce("title", F.lit("")).startswith("Art. ") | (F.coalesce("title", F.lit("")) == "")), F.col("new_title")).otherwise(F.col("title"))).drop("new_title")
     heads = F.explode(F.array(*[F.struct(F.lit(f"{x}.md").alias("file"), F.lit(LAYER_HEADINGS[x]).alias("heading")) for x in LAYERS])).alias("f")

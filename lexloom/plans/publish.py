@@ -15,8 +15,9 @@ def feed_entries(articles: DataFrame, limit: int = 100, laws: tuple[str, ...] =
     """(law_dir, record) -> the newest layers: date descending, ties by law, article, suffix and layer."""
     rows = articles.where(F.col("law_dir").isin(*laws) & F.col("record").isNotNull()).select("law_dir", "record.*")
     layers = rows.select("law_dir", "law", "article", "article_suffix", "title", F.explode("layers").alias("layer", "m")).where(F.coalesce(F.col("m.last_generated"), F.lit("")) != "")
+    law = F.upper(T.or_default(F.col("law"), F.col("law_dir")))
     entry = layers.select(
-        F.upper(T.or_default(F.col("law"), F.col("law_dir"))).alias("law"), "article", T.or_default(F.col("article_suffix"), "").alias("suffix"), T.or_default(F.col("title"), "").alias("title"),
+        law.alias("law"), "article", T.or_default(F.col("article_suffix"), "").alias("suffix"), T.default_title(F.col("title"), law, F.col("article"), F.col("article_suffix")).alias("title"),
         F.col("m.last_generated").alias("date"), "layer", F.coalesce(F.nullif(F.col("m.version"), F.lit(0)), F.lit(1)).alias("version"),
     )
     return entry.orderBy(F.desc("date"), "law", "article", "suffix", "layer").limit(limit)

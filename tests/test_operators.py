@@ -16,6 +16,8 @@ def test_text(spark):
     assert _one(spark, T.dir_name(F.col("n"), F.col("s")), n=1186, s="a") == "art-1186a"
     assert _one(spark, T.dir_name(F.col("n"), F.col("s")), n=8, s="") == "art-008"
     assert _one(spark, T.slug_of_dir(F.col("d")), d="art-050bis") == "art-50bis"
+    assert _one(spark, T.slug_of_dir(F.col("d")), d="art-0123456789012") == "art-123456789012"
+    assert _one(spark, T.slug_of_dir(F.col("d")), d="art-000") == "art-0"
     assert _one(spark, T.clean_extracted(F.col("t")), t="Bundes-\nrechts über-\nänderung\n12\nBBl 1999\nend") == "Bundesrechts überänderung\nend"
     assert _one(spark, T.clean_ocr(F.col("t")), t="N.12  x\n\n\n\ny") == "N. 12 x\n\ny"
     assert _one(spark, T.bbl_reference(F.col("t")), t="BBl 1999 IV  4462") == "bbl-1999-IV-4462"
@@ -48,6 +50,17 @@ def test_scaffold_keeps_what_exists(spark):
     created, updated, new = inventory.scaffold(cand, metas, files)
     assert [(r.number, r.title) for r in created.collect()] == [(2, "Art. 2 BV")]
     assert updated.first().title == "Zweck" and new.count() == 5
+    assert created.first().absatz_count == 1
+
+
+def test_feed_title_of_an_article_without_one(spark):
+    from lexloom.plans import publish
+
+    layers = {"summary": ("2026-01-02", 1)}
+    rows = [("bv", ("BV", 8, "a", None, layers)), ("or", ("OR", 41, "", "Haftung", layers))]
+    schema = "law_dir string, record struct<law:string,article:int,article_suffix:string,title:string,layers:map<string,struct<last_generated:string,version:int>>>"
+    got = publish.feed_entries(spark.createDataFrame(rows, schema)).collect()
+    assert [r.title for r in got] == ["Art. 8a BV", "Haftung"]
 
 
 def test_tree(spark):
