@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,11 +33,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and lost executors cannot take it with them."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and lost executors cannot take it with them.
+    batch_rows: rows of an Arrow batch while it is written, where rows are large; the session's own after that."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,6 +97,18 @@ def _give_back() -> None:
         pass
 
 
+def handing_back(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A step of mapInArrow that hands back its memory when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def fit_on_executor(rows: DataFrame, fit: Callable[[pd.DataFrame], object]):
     """fit of all rows as one pandas frame, run in a task, so that the driver holds the result alone. Only for rows
     whose number and size the caller has bounded."""

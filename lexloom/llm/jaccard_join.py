@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, longs, slices, texts, written
+from ._common import broadcast_if_small, handing_back, longs, slices, texts, written
 from .components import connected_components
 from .shingles import shingle_set, signature
 
@@ -51,8 +51,8 @@ def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 h, c = np.unique(np.concatenate(new), return_counts=True)
                 yield pa.RecordBatch.from_arrays([longs(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    found = docs.select("text").mapInArrow(counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
-    found = written(found.select("h", F.least("c", F.lit(255)).cast("short").alias("c")), "counts")
+    found = docs.select("text").mapInArrow(handing_back(counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    found = written(found.select("h", F.least("c", F.lit(255)).cast("short").alias("c")), "counts", 1000)
     least, total = 256, 0
     for row in found.groupBy("c").count().orderBy(F.desc("c")).collect():  # at most 254 rows
         if total + row["count"] > MAX_FREQUENT:
@@ -172,24 +172,43 @@ def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndar
     for i, x in enumerate(long):
         if not len(docs):
             break
-        at = np.minimum(np.searchsorted(x, docs), len(x) - 1)
+        at = np.minimum(np.searchsorted(x, docs.astype(x.dtype, copy=False)), len(x) - 1)
         hits = hits + (x[at] == docs)
         able = hits + (len(long) - i - 1) >= need
         docs, hits = docs[able], hits[able]
     return docs, hits
 
 
+def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' tokens as numbers from 0, one set after the other, and for each number whether several sets have it.
+    Empties the list."""
+    flat = np.concatenate(sets)
+    sets.clear()
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    ordered = flat[order]
+    del flat
+    first = np.ones(len(ordered), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    number = np.cumsum(first, dtype=np.int32)
+    number -= 1
+    out = np.empty(len(order), np.int32)
+    out[order] = number
+    return out, np.diff(np.append(np.flatnonzero(first), len(first))) > 1
+
+
 def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set its component's least index, links being a Jaccard similarity of percent or more."""
+    """For each set its component's least index, links being a Jaccard similarity of percent or more. The list of sets
+    is emptied, as a block's hashes and their numbers need not be held together."""
     m, uf = len(sets), _Union(len(sets))
-    linked = lambda both, x, y: 100 * both >= percent * (len(x) + len(y) - both)
-    sizes = np.array([len(s) for s in sets])
-    tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = [len(s) for s in sets]
+    linked = lambda both, i, j: 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    flat, many = _numbered(sets)
     ends = np.cumsum(sizes)
     # Tokens of one set alone cannot add to an overlap, and a set with too few others links with nothing.
-    many = np.bincount(flat, minlength=len(tokens)) > 1
     shared = [x[many[x]] for x in (flat[e - n : e] for e, n in zip(ends, sizes, strict=True))]
-    need = [_need(int(n), percent) for n in sizes]
+    del flat
+    need = [_need(n, percent) for n in sizes]
     able = [i for i in range(m) if len(shared[i]) >= need[i]]
     none = np.empty(0, np.int64)
 
@@ -197,7 +216,7 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
         joined = False
         docs, hits = divide_skip(lists, need[i])
         for j, both in zip(docs.tolist(), hits.tolist(), strict=True):
-            if j != i and linked(both, sets[i], sets[j]):
+            if j != i and linked(both, i, j):
                 uf.join(i, j)
                 joined = True
         return joined
@@ -223,10 +242,11 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     if len(kinds) <= 1:
         return [uf.find(i) for i in range(m)]
     # Every other link has an end outside the largest component.
-    doc_of = np.repeat(np.array(able), [len(shared[i]) for i in able])
+    doc_of = np.repeat(np.array(able, np.int32), [len(shared[i]) for i in able])
     of_able = np.concatenate([shared[i] for i in able])
     order = np.argsort(of_able, kind="stable")
-    doc_of, bounds = doc_of[order], np.searchsorted(of_able[order], np.arange(len(tokens) + 1))
+    doc_of, bounds = doc_of[order], np.searchsorted(of_able[order], np.arange(len(many) + 1, dtype=np.int32))
+    del of_able, order
     largest = kinds[np.argmax(sizes_of)]
     for i, root in zip(able, roots.tolist(), strict=True):
         if root != largest:
@@ -285,8 +305,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_order_shingles(docs, k))
-    posted = docs.mapInArrow(lambda it: _postings(it, frequent.value, k, percent), "k long, sig long, n int, doc long, member boolean")
-    chained = posted.repartition("k").sortWithinPartitions("k", "n", "sig").mapInArrow(lambda it: _chains(it, percent), "a long, b long, n int, doc long, member boolean")
+    posted = docs.mapInArrow(handing_back(lambda it: _postings(it, frequent.value, k, percent)), "k long, sig long, n int, doc long, member boolean")
+    chained = posted.repartition("k").sortWithinPartitions("k", "n", "sig").mapInArrow(handing_back(lambda it: _chains(it, percent)), "a long, b long, n int, doc long, member boolean")
     found = written(chained, "chains")
     members = found.where("member").select(F.col("a").alias("sig"), "n", "doc")
     sets = written(members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("doc"), F.first("n").alias("n")), "sets")
@@ -304,9 +324,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = pa.array([i for i, _, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(2).take(rows), b.column(1).take(rows), pa.array([n for *_, n in out], pa.int32()), pa.array([h for _, h, _ in out], pa.binary())], ["tasks", "sig", "n", "h"])
 
-    picked = docs.join(broadcast_if_small(tasks), "id").select("text", "sig", "tasks").mapInArrow(hashes, "tasks array<long>, sig long, n int, h binary")
+    picked = docs.join(broadcast_if_small(tasks), "id").select("text", "sig", "tasks").mapInArrow(handing_back(hashes), "tasks array<long>, sig long, n int, h binary")
     picked = picked.select(F.explode("tasks").alias("task"), "sig", "n", "h").repartition("task").sortWithinPartitions("task", "n", "sig")
-    edges = written(picked.mapInArrow(lambda it: _search_blocks(it, percent), "a long, b long"), "links")
+    edges = written(picked.mapInArrow(handing_back(lambda it: _search_blocks(it, percent)), "a long, b long"), "links", 1000)
     # Without split blocks the edges are whole stars already.
     roots = connected_components(edges) if split else edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct()
     roots = written(roots, "roots")

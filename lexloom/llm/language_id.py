@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, fit_on_executor, hash_unit, kept, texts, written
+from ._common import broadcast_if_small, fit_on_executor, handing_back, hash_unit, kept, texts, written
 
 ORDER = 3
 #: Rows that the fit uses at most, over all languages, and characters of a row.
@@ -187,4 +187,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 
     text = F.col("text").cast("string")
     frame = docs.select(*columns, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    return frame.mapInArrow(scores, f"{ddl}, __pred string, __score double, __per double").toDF(*keep, *outputs)
+    return frame.mapInArrow(handing_back(scores), f"{ddl}, __pred string, __score double, __per double").toDF(*keep, *outputs)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fit_on_executor, fraction, hash_unit, kept, texts
+from ._common import fit_on_executor, fraction, handing_back, hash_unit, kept, texts
 
 #: Labelled rows of each class, and characters of a row, that the fit uses at most.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2500, 5000, 30_000
@@ -193,4 +193,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(out, pa.float64())], [*names, "__score"])
 
     frame = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    return frame.mapInArrow(scores, f"{ddl}, __score double").toDF(*keep, score)
+    return frame.mapInArrow(handing_back(scores), f"{ddl}, __score double").toDF(*keep, score)
