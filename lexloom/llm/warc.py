@@ -2,7 +2,8 @@
 
 Records are range-sorted by id; each task writes its range as files that roll at a compressed size, under temporary
 names that are renamed when a file is whole. What a task wrote goes to a manifest, written as a table; readers take
-only files of the manifest. Record headers and digests are made anew from the payload, so equal input gives equal bytes.
+only files of the manifest and hold them to it. Record headers and digests are made anew from the payload, and the
+ranges depend on the ids and payload sizes alone, so equal input gives equal files, however it is partitioned.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_path, texts, written
+from ._common import fraction, hash_unit, new_path, texts, written
 
 #: Compressed bytes from which a file is closed; payload bytes that a range has, roughly; the date of all records.
 ROLL_BYTES, RANGE_BYTES, DATE = 32 << 20, 48 << 20, "2000-01-01T00:00:00Z"
-_PAGE = "urn:lexloom:page:"
+#: Rows, chosen by a hash of their ids, whose payload sizes set the bounds of the ranges; all rows are written.
+BOUND_ROWS = 500_000
+_PAGE, _TEMPORARY = "urn:lexloom:page:", "_temporary"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -70,7 +75,7 @@ class _Shards:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.name = f"shard-{self.part:06d}-{self.n:05d}.warc.gz"
-            self.temporary = f"{self.dir}/.{self.name}.{uuid.uuid4().hex}.tmp"
+            self.temporary = f"{self.dir}/{_TEMPORARY}/{self.name}.{uuid.uuid4().hex}"
             self.out, self.size, self.records, self.sum = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
             info = f"software: lexloom\r\nformat: WARC File Format 1.1\r\nisPartOf: {self.name}\r\n".encode()
             self._put(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:lexloom:file:{self.name}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n")
@@ -93,6 +98,19 @@ class _Shards:
             self.out, self.n = None, self.n + 1
 
 
+def _bounds(sizes: DataFrame) -> np.ndarray:
+    """The first ids of all ranges but the first, from (page_id, n): ranges hold about RANGE_BYTES of payload each."""
+    rows, total = sizes.agg(F.count("page_id"), F.sum("n")).first()
+    picked = sizes.where("page_id IS NOT NULL").where(hash_unit("page_id") < fraction(rows, BOUND_ROWS))
+    got = picked.groupBy("page_id").agg(F.sum("n").alias("n")).toArrow()
+    ids, n = (got.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(ids)
+    before = np.cumsum(n[order]) - n[order]
+    ranges = max(8, -(-(total or 0) // RANGE_BYTES))
+    place = before * ranges // max(1, int(n.sum()))
+    return ids[order][1:][place[1:] != place[:-1]]
+
+
 def write_warc(pages: DataFrame, path: str | None = None, min_payload: int = 0, roll: int = ROLL_BYTES) -> str:
     """Writes pages (page_id, url, html) to path, a new folder under spark.checkpoint.dir by default; gives the path.
 
@@ -109,9 +127,15 @@ def write_warc(pages: DataFrame, path: str | None = None, min_payload: int = 0,
     # Only payloads with copies are looked up; those rows travel beside the pages and meet them in id order.
     links = seen.join(last, "sha").select("page_id", F.lit(0).alias("kind"), "sha", "last", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")).distinct()
     full = rows.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("last"), "url", "html")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    parts = max(8, -(-total // RANGE_BYTES))
+    bounds = _bounds(seen.select("page_id", "n"))
+    parts, shared = len(bounds) + 1, spark.sparkContext.broadcast(bounds)
     target = _made(path)
+    where, folder = fs.FileSystem.from_uri(target)
+    where.create_dir(f"{folder}/{_TEMPORARY}")
+
+    @F.pandas_udf("int")
+    def range_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, page_id.to_numpy(np.int64), "right").astype(np.int32))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,8 +159,11 @@ def write_warc(pages: DataFrame, path: str | None = None, min_payload: int = 0,
         cols = list(zip(*out.done, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "records", "bytes", "sha256"])
 
-    ordered = links.unionByName(full).repartitionByRange(int(parts), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    least = F.lit(-(1 << 63))  # null ids belong to the first range
+    placed = links.unionByName(full).withColumn("range", range_of(F.coalesce("page_id", least)))
+    ordered = placed.repartitionById(parts, F.col("range")).drop("range").sortWithinPartitions("page_id", "kind", "url", "html")
     ordered.mapInArrow(write, "file string, records long, bytes long, sha256 string").write.parquet(f"{path}/manifest")
+    where.delete_dir(f"{folder}/{_TEMPORARY}")  # what failed attempts left
     return path
 
 
@@ -169,9 +196,10 @@ def parse_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes
 
 def read_warc(spark, path: str) -> DataFrame:
     """The page records of the files in the manifest: page_id, payload_bytes, payload_digest, record_type, refers_to,
-    url and payload (null for revisits). Digests of blocks and payloads are checked; a wrong one fails the job."""
+    url and payload (null for revisits). Digests of blocks and payloads are checked, and each file's records, bytes and
+    digest against the manifest; a wrong one fails the job."""
     target = _made(path)
-    files = spark.read.parquet(f"{path}/manifest").select("file")
+    files = spark.read.parquet(f"{path}/manifest").select("file", "records", "bytes", "sha256")
 
     def number(urn: str | None) -> int | None:
         x = urn[1 + len(_PAGE) : -1].split(":")[0] if urn else ""
@@ -182,10 +210,18 @@ def read_warc(spark, path: str) -> DataFrame:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
-            for name in b.column(0).to_pylist():
-                rows, held = [], 0
+            for name, *wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, held, records, total, digest_of = [], 0, 0, 0, hashlib.sha256()
+
+                def chunks(f, digest_of=digest_of) -> Iterator[bytes]:
+                    nonlocal total
+                    while chunk := f.read(1 << 20):
+                        digest_of.update(chunk)
+                        total += len(chunk)
+                        yield chunk
+
                 with where.open_input_stream(f"{folder}/{name}", compression=None) as f:
-                    for h, block in parse_records(iter(lambda: f.read(1 << 20), b"")):
+                    for h, block in parse_records(chunks(f)):
                         if h["WARC-Type"] == "warcinfo":
                             continue
                         digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -193,10 +229,12 @@ def read_warc(spark, path: str) -> DataFrame:
                         if "sha1:" + payload_digest(block) != h["WARC-Block-Digest"] or (payload is not None and (payload_digest(payload) != digest or len(payload) != int(h["X-Payload-Length"]))):
                             raise ValueError(f"wrong digest in {name}: {h['WARC-Record-ID']}")
                         rows.append((number(h["WARC-Record-ID"]), int(h["X-Payload-Length"]), digest, h["WARC-Type"], number(h.get("WARC-Refers-To")), h["WARC-Target-URI"], payload))
-                        held += len(block)
+                        held, records = held + len(block), records + 1
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                             rows, held = [], 0
+                if wanted != [records, total, digest_of.hexdigest()]:
+                    raise ValueError(f"{name} is not the file of the manifest: {records} records, {total} bytes")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

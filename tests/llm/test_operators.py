@@ -166,6 +166,26 @@ def test_warc(spark):
     assert sums(path) == sums(warc.write_warc(pages, roll=300))
 
 
+def test_warc_shards_and_manifest(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
+    rng = random.Random(9)
+    rows = [(rng.randrange(-(1 << 40), 1 << 40) if i % 50 else None, f"u{i}", _text(rng, rng.randrange(40))) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sums = lambda p: sorted(tuple(r) for r in spark.read.parquet(p + "/manifest").collect())
+    path = warc.write_warc(pages.repartition(2), str(tmp_path / "a"))
+    first = sums(path)
+    assert len(first) >= 8 and max(r[1] for r in first) < 600 and sum(r[1] for r in first) == len(rows)
+    assert first == sums(warc.write_warc(pages.repartition(7, "url"), str(tmp_path / "b")))
+    assert sorted(f.name for f in (tmp_path / "a").iterdir()) == sorted(["manifest", *(r[0] for r in first)])
+    assert warc.read_warc(spark, path).count() == len(rows)
+    # An archive that lost its last record is no longer the manifest's.
+    shard = tmp_path / "a" / first[0][0]
+    data = shard.read_bytes()
+    shard.write_bytes(data[: data.rindex(b"\x1f\x8b\x08")])
+    with pytest.raises(Exception, match="is not the file of the manifest"):
+        warc.read_warc(spark, path).count()
+
+
 def test_mtree(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate((rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 80, 0)))
