@@ -49,17 +49,19 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(table: DataFrame) -> None:
-    """Deletes the files of a table of written() that nothing reads any more, and lets Spark drop the shuffle files of
-    finished steps, which stay until the driver collects garbage."""
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables of written() that nothing reads any more, and lets Spark drop the shuffle files of
+    finished steps, which stay until the driver has collected their garbage."""
     import gc
 
-    spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # what held the files, then the files
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
