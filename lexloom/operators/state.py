@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["law", "article_number", "article_suffix"]
@@ -53,8 +53,40 @@ def summary(state: DataFrame, events: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total_cost(events)))
 
 
-def budget_reached(events: DataFrame, budget: float, partition: list[str] | None = None) -> DataFrame:
-    """Events with the running cost, and whether it exceeds the budget (strictly)."""
-    order = Window.partitionBy(*(partition or [])).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.when(F.col("event") == "completed", F.col("cost")).otherwise(0.0)).over(order)
-    return events.withColumn("running_cost", running).withColumn("exceeded", F.col("running_cost") > budget)
+def _range_of(c: Column, bounds: list) -> Column:
+    """The number of the range that c falls in, by halving; nulls are in the first. A bound belongs to the range below."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c <= F.lit(bounds[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return F.when(c.isNull(), F.lit(0)).otherwise(half(0, len(bounds)))
+
+
+def budget_reached(events: DataFrame, budget: float, partition: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Events with the running cost of completions by seq, and whether it exceeds the budget (strictly).
+
+    With columns to partition by, each of their values has a budget of its own. Without, there is one for all events:
+    they are cut into ranges of seq (as many as Spark shuffles into, if not given), each range adds up its own costs,
+    and what the ranges before it cost comes on top. The driver holds a bound and a sum for each range; the sums of
+    doubles may differ from a plain running sum in their last digits. seq must be unique, nulls come first, and a null
+    cost is none."""
+    cost = F.when(F.col("event") == "completed", F.coalesce(F.col("cost"), F.lit(0))).otherwise(F.lit(0))
+    if partition:
+        order = Window.partitionBy(*partition).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        return events.withColumn("running_cost", F.sum(cost).over(order)).withColumn("exceeded", F.col("running_cost") > budget)
+    n = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = (events.agg(F.percentile_approx("seq", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None) or []
+    bounds = sorted(set(bounds))
+    ranged = events.withColumn("__range", _range_of(F.col("seq"), bounds))
+    sums = dict(ranged.groupBy("__range").agg(F.sum(cost)).collect())
+    before, total = [], 0
+    for i in range(len(bounds) + 1):
+        before.append(total)
+        total = total + (sums.get(i) or 0)
+    order = Window.partitionBy("__range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(cost).over(order)
+    running = own + F.element_at(F.array(*[F.lit(x) for x in before]), F.col("__range") + 1)
+    return ranged.withColumn("running_cost", running).drop("__range").withColumn("exceeded", F.col("running_cost") > budget)
