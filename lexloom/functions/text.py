@@ -154,3 +154,28 @@ def backoff_seconds(attempt: Column) -> Column:
 
 def lang_base(lang: Column, root: str = "") -> Column:
     return F.concat(F.regexp_replace(F.lit(root), "/+$", ""), F.lit("/"), lang)
+
+
+def url_language(url: Column) -> Column:
+    """The first part of a URL's path where it is all letters a-z; empty if it is not."""
+    return F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)", 1)
+
+
+def url_path(url: Column) -> Column:
+    """What stands after the language in a URL, `/` where nothing does."""
+    return or_default(F.regexp_extract(url, r"^https?://[^/]+/[a-z]+(/.*)$", 1), "/")
+
+
+def all_digits(c: Column) -> Column:
+    """Whether a text is digits 0 to 9 and nothing else; an empty one is not."""
+    return F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
+
+
+def elapsed_seconds(began: Column, ended: Column) -> Column:
+    return (F.unix_micros(ended.cast("timestamp")) - F.unix_micros(began.cast("timestamp"))) / F.lit(1_000_000.0)
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; a key that both have takes the value of the second. A null map is empty."""
+    a, b = (F.coalesce(x, F.create_map().cast("map<string,string>")) for x in (first, second))
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)

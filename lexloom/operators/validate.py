@@ -74,3 +74,17 @@ def score_gate(results: DataFrame, thresholds: dict[str, float], advisory: tuple
     limits = F.create_map([F.lit(x) for k, v in thresholds.items() for x in (k, v)])
     ok = F.forall(F.map_keys(limits), lambda k: F.coalesce(F.col("scores")[k] >= limits[k], F.lit(False)))
     return results.where(~F.col("evaluator").isin(*advisory) if advisory else F.lit(True)).groupBy("item").agg(F.bool_and(ok).alias("passed"))
+
+
+def report_text(dirs: DataFrame, errors: DataFrame, shown: int = 1000) -> tuple[str, int]:
+    """The report of a content tree as text, and the exit status: 0 for a tree without errors, else 1. Errors stand in
+    order of directory and kind; beyond `shown` only their number is given, as the rest stays in the table."""
+    one = tree_report(dirs, errors).first()
+    lines = [f"Validated {one['total_articles']} articles"]
+    if one["valid"]:
+        return "\n".join([*lines, "All valid."]), 0
+    first = errors.orderBy("law_dir", "art_dir", "ordinal", "error").limit(shown).collect()
+    lines += [f"{one['errors']} errors:", *[f"  - {r['error']}" for r in first]]
+    if one["errors"] > shown:
+        lines.append(f"  ... and {one['errors'] - shown} more")
+    return "\n".join(lines), 1

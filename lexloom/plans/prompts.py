@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import MODELS, TRANSLATIONS
+from ..functions.constants import LAWS, LAYERS, MODELS, TRANSLATIONS
 
 
 def enrich(requests: DataFrame, texts: DataFrame, references: DataFrame, materials: DataFrame) -> DataFrame:
@@ -40,10 +40,16 @@ def translation(requests: DataFrame) -> DataFrame:
 
 
 def guidelines(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """files (file, text), requests (law, layer) -> system prompt: global, law and layer texts in that order."""
-    parts = requests.select("law", "layer", F.posexplode(F.array(F.lit("global"), F.lower("law"), F.col("layer"))).alias("pos", "file"))
-    found = parts.join(F.broadcast(files), "file")
-    return found.groupBy("law", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("system_prompt"))
+    """files (file, text), requests (law, layer) -> system prompt: global, law and layer texts in that order. A layer or
+    a law that the corpus does not have fails, and so does a layer or a global text that no file holds; a law may do
+    without a text of its own."""
+    asked = requests.select("law", "layer").distinct()
+    checked = asked.withColumns({"layer": _known(F.col("layer"), {x: x for x in LAYERS}, "layer"), "law": _known(F.col("law"), {x: x for x in LAWS}, "law")})
+    parts = checked.select("law", "layer", F.posexplode(F.array(F.lit("global"), F.lower("law"), F.col("layer"))).alias("pos", "file"))
+    # a text for each law and layer at most
+    found = parts.join(F.broadcast(files), "file", "left")
+    text = F.when(F.col("text").isNull() & (F.col("pos") != 1), F.raise_error(F.concat(F.lit("no guideline: "), "file"))).otherwise(F.col("text"))
+    return found.groupBy("law", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))), lambda x: x["text"]), "\n\n").alias("system_prompt"))
 
 
 def compare_variants(results: DataFrame, variants: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import LANGS, LAYER_LABELS, PUBLISHED_DIRS, STATIC_PAGES, langs
+from ..sinks.files import Files
 
 SITE = "https://example.org"
 
@@ -44,6 +45,10 @@ def feed_xml(items: DataFrame, title: str, description: str, site: str = SITE) -
     return body.select(F.concat(F.lit(head), "items", F.lit("\n  </channel>\n</rss>")).alias("value"))
 
 
+def page_url(site: str, lang: Column, page_path: Column) -> Column:
+    return F.concat(F.lit(f"{site}/"), lang, page_path)
+
+
 def sitemap_urls(dirs: DataFrame, site: str = SITE, laws: tuple[str, ...] = PUBLISHED_DIRS) -> DataFrame:
     """(law_dir, art_dir) -> lang, url, page_path, alternates: static pages, law indexes and articles in each language.
     The directories are read once and met with the four languages."""
@@ -54,14 +59,61 @@ def sitemap_urls(dirs: DataFrame, site: str = SITE, laws: tuple[str, ...] = PUBL
     slug = T.slug_of_dir(F.col("art_dir"))
     arts = dirs.where(F.col("law_dir").isin(*laws) & slug.isNotNull()).select(F.lit(1).alias("part"), number[F.col("law_dir")].alias("n"), "art_dir", F.concat(F.lit("/"), "law_dir", F.lit("/"), slug).alias("page_path"))
     pages = static.unionByName(index).unionByName(arts).crossJoin(F.broadcast(langs(spark)))
-    alternates = F.array(*[F.concat(F.lit(f"{site}/{x}"), F.col("page_path")) for x in LANGS])
-    return pages.select("lang_pos", "part", "n", "art_dir", "lang", "page_path", F.concat(F.lit(f"{site}/"), "lang", "page_path").alias("url"), alternates.alias("alternates"))
-
-
-def sitemap_xml(urls: DataFrame, path: str) -> None:
-    """Writes one `<url>` entry a line, sorted, as text files; head and foot are the caller's."""
-    links = F.array_join(F.transform(F.arrays_zip(F.array(*[F.lit(x) for x in LANGS]).alias("l"), F.col("alternates").alias("u")), lambda z: F.concat(F.lit('<xhtml:link rel="alternate" hreflang="'), z["l"], F.lit('" href="'), z["u"], F.lit('" />'))), "")
-    urls.orderBy("lang_pos", "part", "n", "art_dir").select(F.concat(F.lit("<url><loc>"), T.escape_xml(F.col("url"), quotes=False), F.lit("</loc>"), links, F.lit("</url>")).alias("value")).write.text(path)
+    alternates = F.array(*[page_url(site, F.lit(x), F.col("page_path")) for x in LANGS])
+    return pages.select("lang_pos", "part", "n", "art_dir", "lang", "page_path", page_url(site, F.col("lang"), F.col("page_path")).alias("url"), alternates.alias("alternates"))
+
+
+URLS_A_FILE = 50_000  # what a sitemap file may hold
+
+_URLSET = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">'
+_INDEX = '<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+
+
+def sitemap_entries(urls: DataFrame) -> DataFrame:
+    """(lang_pos, part, n, art_dir, xml): one `<url>` element a row, with its alternates."""
+    links = F.array_join(F.transform(F.arrays_zip(F.array(*[F.lit(x) for x in LANGS]).alias("l"), F.col("alternates").alias("u")), lambda z: F.concat(F.lit('<xhtml:link rel="alternate" hreflang="'), z["l"], F.lit('" href="'), T.escape_xml(z["u"]), F.lit('" />'))), "")
+    return urls.select("lang_pos", "part", "n", "art_dir", F.concat(F.lit("<url><loc>"), T.escape_xml(F.col("url"), quotes=False), F.lit("</loc>"), links, F.lit("</url>")).alias("xml"))
+
+
+def numbered(rows: DataFrame, order: list[str], folder: str, name: str = "number") -> DataFrame:
+    """rows numbered from 0 in an order, without all of them in one task: ranges are sorted and kept below folder, and
+    what the ranges before it hold, one number a range on the driver, is added to a row's place in its own."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    ranged.write.parquet(folder)  # kept, as ranges fall elsewhere each time they are worked out
+    kept = spark.read.schema(ranged.schema).parquet(folder)
+    sizes = dict(kept.groupBy("__range").count().collect())
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r], total = total, total + sizes[r]
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return kept.withColumn(name, start[F.col("__range")] + place - 1).drop("__range")
+
+
+def write_sitemap(urls: DataFrame, path: str, scratch: str, site: str = SITE, urls_a_file: int = URLS_A_FILE) -> list[str]:
+    """Writes the sitemap below path and returns the names of its files: sitemap.xml alone where all URLs fit in one;
+    else sitemap-1.xml and so on, in order, with sitemap.xml as their index. Each file is whole, head and foot
+    included, and written by one task, which holds what one file may. scratch: an unused folder."""
+    spark = urls.sparkSession
+    rows = numbered(sitemap_entries(urls), ["lang_pos", "part", "n", "art_dir"], f"{scratch}/numbered")
+    body = rows.select(F.floor(F.col("number") / urls_a_file).cast("int").alias("file"), "number", F.col("xml").alias("value"))
+    count = (body.agg(F.max("file")).first()[0] or 0) + 1
+    frame = spark.range(count).select(F.col("id").cast("int").alias("file"))
+    head, foot = (frame.select("file", F.lit(n).cast("long").alias("number"), F.lit(x).alias("value")) for n, x in ((-1, _URLSET), ((1 << 62), "</urlset>")))
+    whole = body.select("file", F.col("number").cast("long"), "value").unionByName(head).unionByName(foot)
+    whole.repartition(count, "file").sortWithinPartitions("file", "number").select("file", "value").write.partitionBy("file").text(f"{scratch}/files")
+    files, names = Files(spark, path), []
+    for i in range(count):
+        part = next(n for n in files.names(f"{scratch}/files/file={i}") if n.startswith("part-"))
+        names.append("sitemap.xml" if count == 1 else f"sitemap-{i + 1}.xml")
+        files.move(f"{scratch}/files/file={i}/{part}", f"{path}/{names[-1]}")
+    if count > 1:
+        entries = "".join(f"\n<sitemap><loc>{site}/{n}</loc></sitemap>" for n in names)
+        files.delete(f"{path}/sitemap.xml")
+        files.publish(f"{_INDEX}{entries}\n</sitemapindex>\n", f"{path}/sitemap.xml")
+        names.append("sitemap.xml")
+    return names
 
 
 def concept_pages(concepts: DataFrame) -> DataFrame:
@@ -89,6 +141,11 @@ def locale(lang):
     return T.label(lang, {"de": "de_CH", "fr": "fr_CH", "it": "it_CH", "en": "en_US"}, F.lit("de_CH"))
 
 
+def list_totals(articles: DataFrame) -> DataFrame:
+    """law, articles: the number of articles of each law, and of all (law null), with the number of laws."""
+    return articles.where("law IS NOT NULL").rollup("law").agg(F.count("*").alias("articles"), F.count_distinct("law").alias("laws"))
+
+
 def write_article_lists(articles: DataFrame, path: str) -> None:
     articles.groupBy("law").agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list(F.struct("number", "suffix", "raw", "title"))).alias("articles")).write.json(path)
 

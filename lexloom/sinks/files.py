@@ -68,5 +68,13 @@ class Files:
             raise
         return True
 
+    def move(self, source: str, target: str) -> None:
+        """Moves a file; a file that stands there goes first."""
+        self._fs.mkdirs(self._path(target).getParent())
+        if self.exists(target):
+            self.delete(target)
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"could not move {source} to {target}")
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
