@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import LANGS, LAYER_LABELS
-from ..operators.extract import density
+from ..operators.citations import by_article
+from ..operators.extract import density, join_pages, not_done
+from ..operators.inventory import scaffold
 from ..operators.state import budget_reached
 from ..operators.validate import score_gate
+from .publish import list_totals, previous_next
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,7 +121,7 @@ def pending_keys(t, spark):
 
 @query("SELECT coalesce(lang, 'all') AS lang, CAST(count(*) AS BIGINT) AS articles FROM documents WHERE lang IS NOT NULL GROUP BY ROLLUP (lang)")
 def law_rollup(t, spark):
-    return t("documents").where("lang IS NOT NULL").rollup("lang").agg(F.count("*").alias("articles")).select(F.coalesce("lang", F.lit("all")).alias("lang"), "articles")
+    return list_totals(t("documents").select(F.col("lang").alias("law"))).select(F.coalesce("law", F.lit("all")).alias("lang"), "articles")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN 'art-' || right('00' || CAST(o_orderkey AS VARCHAR), 3) ELSE 'art-' || CAST(o_orderkey AS VARCHAR) END || 'a' AS dir FROM orders")
@@ -139,8 +142,8 @@ def clean_text(t, spark):
 
 @query("SELECT doc_id, string_agg('[Page ' || CAST(i AS VARCHAR) || ']' || chr(10) || p, chr(10) || chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id")
 def page_markers(t, spark):
-    pages = F.split("text", "\n", -1)
-    return t("documents").select("doc_id", F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), p)), "\n\n").alias("text"))
+    pages = t("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select("doc", (F.col("at") + 1).alias("page"), "text")
+    return join_pages(pages).select(F.col("doc").alias("doc_id"), "text")
 
 
 @query(r"""SELECT doc_id, CAST(len(string_split(replace(text, chr(10), chr(10) || '7 '), chr(10) || '7 ')) AS BIGINT) AS parts, string_split(replace(text, chr(10), chr(10) || '7 '), chr(10) || '7 ')[-1] AS last_text FROM documents""")
@@ -184,7 +187,7 @@ def sitemap_urls(t, spark):
 
 @query("SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS lang, CASE WHEN regexp_extract(url, '^https?://[^/]+/[a-z]+(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/]+/[a-z]+(/.*)$', 1) END AS path FROM pages")
 def url_language(t, spark):
-    return t("pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1).alias("lang"), T.or_default(F.regexp_extract("url", "^https?://[^/]+/[a-z]+(/.*)$", 1), "/").alias("path"))
+    return t("pages").select("page_id", T.url_language(F.col("url")).alias("lang"), T.url_path(F.col("url")).alias("path"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') AS pub_date FROM orders")
@@ -194,13 +197,15 @@ def rfc822_date(t, spark):
 
 @query("SELECT p_partkey, lag(p_partkey) OVER w AS previous, lead(p_partkey) OVER w AS next FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)")
 def prev_next(t, spark):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return t("part").select("p_partkey", F.lag("p_partkey").over(w).alias("previous"), F.lead("p_partkey").over(w).alias("next"))
+    articles = t("part").select(F.col("p_brand").alias("law"), F.col("p_partkey").alias("number"), F.lit("").alias("suffix"), F.col("p_partkey").alias("raw"))
+    return previous_next(articles).select(F.col("number").alias("p_partkey"), "previous", "next")
 
 
 @query("SELECT l_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS decision_refs, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey")
 def citation_map(t, spark):
-    return t("lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("r")).select("l_partkey", F.array_join(F.transform("r", lambda x: x.cast("string")), ",").alias("decision_refs"), F.size("r").cast("long").alias("n"))
+    cited = t("lineitem").select(F.col("l_orderkey").alias("reference"), F.array(F.struct(F.lit("OR").alias("law"), F.col("l_partkey").alias("article"), F.lit("").alias("suffix"))).alias("articles"))
+    found = by_article(cited)
+    return found.select(F.col("article").alias("l_partkey"), F.array_join(F.transform("decision_refs", lambda x: x.cast("string")), ",").alias("decision_refs"), F.size("decision_refs").cast("long").alias("n"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none') AS missing FROM events")
@@ -216,14 +221,15 @@ def token_cost(t, spark):
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def incremental_skip(t, spark):
-    return t("documents").select("doc_id", "source").join(t("labels").select("doc_id"), "doc_id", "left_anti")
+    return not_done(t("documents").select("doc_id", "source"), t("labels").select("doc_id"), ["doc_id"])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 1 THEN 'Art. ' || CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, '') ELSE source END AS title FROM documents")
 def title_upsert(t, spark):
     old = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "Art. 1").otherwise(F.col("source"))
-    d = t("documents").select("doc_id", old.alias("old"), T.default_title(F.lit(""), F.coalesce("lang", F.lit("")), F.col("doc_id"), F.lit("")).alias("new"))
-    return d.select("doc_id", F.when((F.col("old") == "") | F.col("old").startswith("Art. "), F.col("new")).otherwise(F.col("old")).alias("title"))
+    d = t("documents").select(F.coalesce("lang", F.lit("")).alias("law"), F.col("doc_id").alias("number"), F.lit("").alias("suffix"), old.alias("title"))
+    _, updated, _ = scaffold(d.withColumn("title", F.lit("")), d, spark.createDataFrame([], "law string, number long, suffix string, file string"))
+    return updated.select(F.col("number").alias("doc_id"), "title")
 
 
 @query("SELECT doc_id AS item, quality * 0.96 >= 0.95 AS passed FROM labels")

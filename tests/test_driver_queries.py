@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from lexloom.plans import driver_queries as Q
+from lexloom.plans import library_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
