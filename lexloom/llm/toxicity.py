@@ -162,14 +162,15 @@ def fit(rows: list[tuple[str, int, bool]], prior: float) -> ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learns from at most FIT_TOXIC + FIT_ORDINARY labelled rows (doc_id, toxic) of docs with texts of at most
     FIT_CHARS characters, chosen by a hash of doc_id; rows with a null id, label or text teach nothing, and of a
-    repeated label the larger counts. Without any labelled row the score is constant."""
+    repeated label the larger counts. Without any labelled row every score is
+    0.01."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, fraction(counts.get(1, 0), FIT_TOXIC)).otherwise(fraction(counts.get(0, 0), FIT_ORDINARY))
     picked = known.where(hash_unit("id") < share)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id").where(F.length("text") <= FIT_CHARS)
     rows = rows.select("text", "toxic", (hash_unit("id", F.lit("part")) < 0.6).alias("trains"), F.xxhash64("id", "text").alias("o"))
-    prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+    prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.01
 
     def fitted(frame):
         frame = frame.sort_values(["o", "text"])
