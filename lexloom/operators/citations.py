@@ -52,3 +52,19 @@ def affairs(raw: DataFrame) -> DataFrame:
     made = F.transform(refs, lambda r: F.struct(F.concat_ws(" ", r["publication"]["source"], r["publication"]["year"], r["publication"]["page"]).alias("bbl_ref"), bbl_reference(F.concat_ws(" ", r["publication"]["source"], r["publication"]["year"], r["publication"]["page"])).alias("bbl_ref_normalized"), r["publication"]["url"].alias("pdf_url")))
     done = F.flatten(F.transform("drafts", lambda d: F.coalesce(d["consultation"]["resolutions"], F.array().cast(f"array<{res}>"))))
     return parsed.select(F.col("id").cast("string").alias("id"), F.col("shortId").alias("short_id"), made.alias("botschaften"), F.transform(done, lambda r: F.struct(r["council"]["name"].alias("council"), r["date"].alias("date"), r["text"].alias("text"))).alias("resolutions"))
+
+
+def affair_counts(flattened: DataFrame) -> DataFrame:
+    """id, messages, resolutions: how many of each an affair has; none where a list is null."""
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return flattened.select("id", n("botschaften").alias("messages"), n("resolutions").alias("resolutions"))
+
+
+def leading_cases(decisions: DataFrame, law: str | None = None, article: int | None = None, limit: int = 10) -> DataFrame:
+    """(reference, articles), a row each time a decision is named -> reference, citations: those named most often, ties
+    by reference; with a law or an article only where it is named for that."""
+    out = decisions
+    if law or article:
+        meets = lambda a: (a["law"] == law if law else F.lit(True)) & (a["article"] == article if article else F.lit(True))
+        out = out.where(F.exists("articles", meets))
+    return out.groupBy("reference").agg(F.count("*").alias("citations")).orderBy(F.desc("citations"), "reference").limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.constants import LAYER_HEADINGS, LAYERS, laws
 
+LAYER = "struct<last_generated:string,version:int,quality_score:double,trigger:string,last_reviewed:string,total_decisions:int,new_decisions_count:int>"
 _LINE = r"(?U)^- Art\.\s+(\d+)\s*([a-z]*)\s*(.*)"
 
 
@@ -73,6 +74,14 @@ def scaffold(candidates: DataFrame, metas: DataFrame, files: DataFrame) -> tuple
     return created, updated, bodies.join(files, [*key, "file"], "left_anti")
 
 
+def scaffold_records(created: DataFrame) -> DataFrame:
+    """The metas that scaffold creates as whole records: law_dir, art_dir, record; one paragraph, no layers yet, and
+    empty where nothing is known."""
+    none = F.create_map().cast(f"map<string,{LAYER}>")
+    record = F.struct("law", F.col("number").cast("int").alias("article"), F.coalesce("suffix", F.lit("")).alias("article_suffix"), "title", "sr_number", "absatz_count", "fedlex_url", F.lit(None).cast("int").alias("lexfind_id"), F.lit("").alias("lexfind_url"), F.lit("").alias("in_force_since"), none.alias("layers"))
+    return created.select(F.lower("law").alias("law_dir"), T.dir_name(F.col("number"), F.col("suffix")).alias("art_dir"), record.alias("record"))
+
+
 def nest_texts(paragraphs: DataFrame) -> DataFrame:
     """law, key, pos, num, text -> law, texts: map of key to paragraphs; the last of a repeated position wins."""
     last = paragraphs.groupBy("law", "key", "pos").agg(F.max_by(F.struct("num", "text"), "pos").alias("p"))

@@ -53,5 +53,15 @@ def guidelines(files: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def compare_variants(results: DataFrame, variants: list[str]) -> DataFrame:
-    """(article, variant, verdict, cost, seconds) -> a row an article, columns by variant."""
-    return results.groupBy("article").pivot("variant", variants).agg(F.first("verdict").alias("verdict"), F.sum("cost").alias("cost"), F.sum("seconds").alias("seconds"))
+    """(article, variant, verdict, cost, seconds, scores) -> a row an article, columns by variant. Of two runs of a
+    variant costs and seconds add up; the verdict and scores are those of the least verdict."""
+    scores = [F.min_by("scores", "verdict").alias("scores")] if "scores" in results.columns else []
+    return results.groupBy("article").pivot("variant", variants).agg(F.min("verdict").alias("verdict"), F.sum("cost").alias("cost"), F.sum("seconds").alias("seconds"), *scores)
+
+
+def variant_summary(results: DataFrame) -> DataFrame:
+    """variant, runs, published, cost, seconds, and mean_scores: the mean of each score over its runs."""
+    means = results.select("variant", F.explode("scores").alias("name", "score")).groupBy("variant", "name").agg(F.avg("score").alias("mean"))
+    maps = means.groupBy("variant").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "mean")))).alias("mean_scores"))
+    whole = results.groupBy("variant").agg(F.count("*").alias("runs"), F.count_if(F.col("verdict") == "publish").alias("published"), F.sum("cost").alias("cost"), F.sum("seconds").alias("seconds"))
+    return whole.join(maps, "variant", "left")

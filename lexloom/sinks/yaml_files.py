@@ -1,4 +1,4 @@
-"""YAML records, one file each in a tree of two levels, written by a data source with a two-phase commit."""
+"""Files of a tree, one a row: YAML records and texts, written by data sources with a two-phase commit."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from ..functions import text as T
+
 
 def _entries(c: Column, kind: DataType) -> Column:
     """c with maps as arrays of entries, as Python gets a map's keys in no certain order."""
@@ -60,8 +62,13 @@ class Staged(WriterCommitMessage):
 
 
 class _TreeWriter(DataSourceWriter):
-    def __init__(self, path: str, file: str, kind: DataType) -> None:
-        self._path, self._file, self._kind, self._staging = path.rstrip("/"), file, kind, f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    """Writes a file for each row; row_file gives its names below the root, and its text or None for no file."""
+
+    def __init__(self, path: str) -> None:
+        self._path, self._staging = path.rstrip("/"), f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+
+    def row_file(self, row: Row) -> tuple[list[str], str | None]:
+        raise NotImplementedError
 
     def _open(self, path: str):
         from pyarrow import fs
@@ -72,18 +79,19 @@ class _TreeWriter(DataSourceWriter):
         store, top = self._open(f"{self._staging}/{uuid.uuid4().hex}")
         n, made = 0, set()
         for r in rows:
-            if r["record"] is None:
+            names, text = self.row_file(r)
+            if text is None:
                 continue
-            for name in (r["law_dir"], r["art_dir"]):
+            for name in names:
                 if not name or "/" in name or name.startswith("."):
-                    raise ValueError(f"no name of a directory: {name!r}")
-            folder = posixpath.join(top, r["law_dir"], r["art_dir"])
-            if folder in made:
-                raise ValueError(f"two records for {r['law_dir']}/{r['art_dir']}")
-            made.add(folder)
-            store.create_dir(folder, recursive=True)
-            with store.open_output_stream(posixpath.join(folder, self._file)) as out:
-                out.write(to_yaml(r["record"], self._kind).encode())
+                    raise ValueError(f"no name of a directory or file: {name!r}")
+            path = posixpath.join(top, *names)
+            if path in made:
+                raise ValueError(f"two records for {'/'.join(names)}")
+            made.add(path)
+            store.create_dir(posixpath.dirname(path), recursive=True)
+            with store.open_output_stream(path) as out:
+                out.write(text.encode())
             n += 1
         return Staged(top, n)
 
@@ -115,6 +123,20 @@ class _TreeWriter(DataSourceWriter):
             store.delete_dir(top)
 
 
+class _YamlWriter(_TreeWriter):
+    def __init__(self, path: str, file: str, kind: DataType) -> None:
+        super().__init__(path)
+        self._file, self._kind = file, kind
+
+    def row_file(self, row: Row) -> tuple[list[str], str | None]:
+        return [row["law_dir"], row["art_dir"], self._file], None if row["record"] is None else to_yaml(row["record"], self._kind)
+
+
+class _TextWriter(_TreeWriter):
+    def row_file(self, row: Row) -> tuple[list[str], str | None]:
+        return (row["path"] or "").split("/"), row["text"]
+
+
 class YamlTree(DataSource):
     """Format `yaml_tree`: rows (law_dir, art_dir, record) as files path/law_dir/art_dir/file, meta.yaml by default.
 
@@ -132,7 +154,53 @@ class YamlTree(DataSource):
         if not {"law_dir", "art_dir", "record"} <= set(schema.names):
             raise ValueError("yaml_tree needs the columns law_dir, art_dir and record")
         kind = StructType.fromJson(json.loads(self.options["record"])) if "record" in self.options else schema["record"].dataType
-        return _TreeWriter(self.options["path"], self.options.get("file", "meta.yaml"), kind)
+        return _YamlWriter(self.options["path"], self.options.get("file", "meta.yaml"), kind)
+
+
+class TextTree(DataSource):
+    """Format `text_tree`: rows (path, text) as files below the root, as YamlTree does it. A null text writes nothing;
+    a path that leaves the root, or names what is hidden, fails the job."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_tree"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("text_tree replaces single files: write it in mode append")
+        if not {"path", "text"} <= set(schema.names):
+            raise ValueError("text_tree needs the columns path and text")
+        return _TextWriter(self.options["path"])
+
+
+def write_texts(rows: DataFrame, root: str) -> None:
+    """Writes (path, text) below root; two texts for one path fail the job."""
+    rows.sparkSession.dataSource.register(TextTree)
+    rows.select("path", "text").repartition("path").write.format("text_tree").mode("append").save(root)
+
+
+def write_layer_files(layers: DataFrame, root: str) -> None:
+    """Writes (law, article, suffix, layer, content) as Markdown files of their articles."""
+    directory = F.concat_ws("/", F.lower("law"), T.dir_name(F.col("article"), F.col("suffix")))
+    write_texts(layers.select(F.concat(directory, F.lit("/"), "layer", F.lit(".md")).alias("path"), F.col("content").alias("text")), root)
+
+
+def write_cantonal(laws: DataFrame, root: str) -> None:
+    """Writes cantonal laws (the fields of choice.CANTONAL but article_count, which is counted here) as files named
+    canton-kv.json and so on, by law_key; fields that are null are left out."""
+    whole = laws.withColumn("article_count", F.coalesce(F.size("articles"), F.lit(0)))
+    fields = [c for c in ("canton", "law_key", "sr_number", "language", "title", "lexfind_id", "source", "fetched_at", "article_count", "articles", "article_texts") if c in whole.columns]
+    name = F.concat(F.lower("canton"), F.lit("-"), F.lower("law_key"), F.lit(".json"))
+    write_texts(whole.select(name.alias("path"), F.to_json(F.struct(*fields), {"pretty": "true"}).alias("text")), root)
+
+
+def write_article_documents(articles: DataFrame, root: str) -> None:
+    """Writes (law, sr_number, number, suffix, raw, title) as one readable JSON file a law, with its articles in order
+    and their number."""
+    entry = F.struct("number", "suffix", "raw", "title")
+    lists = articles.groupBy("law").agg(F.first("sr_number", ignorenulls=True).alias("sr_number"), F.count("*").alias("article_count"), F.array_sort(F.collect_list(entry)).alias("articles"))
+    document = F.to_json(F.create_map(F.col("law"), F.struct("sr_number", "article_count", "articles")), {"pretty": "true"})
+    write_texts(lists.select(F.concat(F.lower("law"), F.lit(".json")).alias("path"), document.alias("text")), root)
 
 
 def write_records(records: DataFrame, root: str, file: str = "meta.yaml") -> None:

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAYER = "struct<last_generated:string,version:int,quality_score:double,trigger:string,last_reviewed:string,total_decisions:int,new_decisions_count:int>"
+from ..functions.constants import LAWS
+from ..operators.inventory import LAYER
+
 ARTICLE = f"law string, article int, article_suffix string, title string, sr_number string, absatz_count int, fedlex_url string, lexfind_id int, lexfind_url string, in_force_since string, layers map<string,{LAYER}>"
 CONCEPT = "type string, slug string, title string, provisions array<string>, confidence string, author_status string, tags array<string>, last_generated string, quality_score double"
 CONTESTED = "type string, slug string, title string, question string, provisions array<string>, positions array<map<string,string>>, author_status string, tags array<string>, last_generated string"
@@ -127,3 +129,28 @@ def read_pdf_pages(spark: SparkSession, root: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "page", "text"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(root).select("path", "content").mapInPandas(pages, "doc string, page int, text string")
+
+
+def rpc_caller(base: str, tool: str, argument: str, timeout: float = 120.0) -> Callable[[str], str]:
+    """A function that asks a service for one value: posts a JSON-RPC call of the tool and returns the body. It raises
+    on an HTTP error; what the body holds is rpc_text's to say. It can be sent to executors."""
+
+    def ask(value: str) -> str:
+        from urllib.request import Request, urlopen
+
+        call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": tool, "arguments": {argument: value}}}
+        headers = {"Content-Type": "application/json", "Accept": "application/json, text/event-stream"}
+        with urlopen(Request(base, json.dumps(call).encode(), headers), timeout=timeout) as answer:
+            return answer.read().decode()
+
+    return ask
+
+
+def seed_affairs(spark: SparkSession, seeds: dict[str, list[str]]) -> DataFrame:
+    """(law, affair_id) of the affairs to start from. Every law needs some, and ids are digits; else it is an error."""
+    missing = sorted(set(LAWS) - {law for law, ids in seeds.items() if ids})
+    bad = sorted(f"{law}: {i!r}" for law, ids in seeds.items() for i in ids if not (i.isascii() and i.isdigit()))
+    unknown = sorted(set(seeds) - set(LAWS))
+    if missing or bad or unknown:
+        raise ValueError(f"laws without an affair: {missing}; no ids: {bad}; unknown laws: {unknown}")
+    return spark.createDataFrame([(law, i) for law, ids in seeds.items() for i in dict.fromkeys(ids)], "law string, affair_id string")
