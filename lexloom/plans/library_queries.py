@@ -10,13 +10,14 @@ from ..operators import inventory, validate
 from ..operators.choice import choose_texts
 from ..operators.compare import multiset_difference
 from ..operators.lookup import TermIndex, case_briefs, commentary
-from ..operators.state import budget_reached, replay, total_cost
+from ..operators.state import budget_reached, replay, summary, total_cost
 from ..sinks.files import new_folder
 from ..sinks.snapshots import layer_store, write_layers
 from ..sinks.yaml_files import write_records
+from ..sources.article_source import parse_answers
 from ..sources.content import ARTICLE, scan_records
 from ..streaming.state import EVENTS, follow, state_table
-from . import publish
+from . import prompts, publish
 from .driver_queries import query
 from .regenerate import regenerate
 from .stages import Pipeline, Stage
@@ -214,3 +215,86 @@ def article_lists(t, spark):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line"))), lambda x: x["line"]), "\n")
     answers = i.groupBy(F.concat(F.lit("L"), F.col("law").cast("string")).alias("law")).agg(F.concat(F.lit("Header\n- Art. 1 – 3 Bereich\n"), text).alias("text"))
     return inventory.parse_article_lists(answers).select("law", "number", "raw", "title")
+
+
+@query("""WITH l AS (SELECT l.doc_id, x.layer, x.version, CASE WHEN l.doc_id % 7 = 0 THEN '' ELSE strftime(DATE '2024-01-01' + CAST(l.doc_id % 400 AS INTEGER), '%Y-%m-%d') END AS date, upper(d.lang) AS law
+FROM (SELECT doc_id, 'summary' AS layer, quality AS version FROM labels UNION ALL SELECT doc_id, 'caselaw', toxic FROM labels) x JOIN labels l USING (doc_id) JOIN documents d USING (doc_id) WHERE d.lang IN ('en', 'fr', 'de', 'es')),
+n AS (SELECT *, CASE layer WHEN 'summary' THEN 'Overview' ELSE 'Case Law' END AS name, 'Art. ' || CAST(doc_id AS VARCHAR) || ' ' || law AS display, greatest(version, 1) AS v FROM l WHERE date <> '')
+SELECT date, law, doc_id AS article, layer, display || ' — ' || display || ' (' || name || ' v' || CAST(v AS VARCHAR) || ')' AS item_title, 'https://example.org/de/' || lower(law) || '/art-' || CAST(doc_id AS VARCHAR) AS link, 'https://example.org/de/' || lower(law) || '/art-' || CAST(doc_id AS VARCHAR) || '#' || layer || '-v' || CAST(v AS VARCHAR) AS guid,
+strftime(CAST(date AS TIMESTAMP), '%a, %d %b %Y %H:%M:%S GMT') AS pub_date, name || ' layer updated for ' || display AS description FROM n ORDER BY date DESC, law, doc_id, layer LIMIT 100""")
+def feed_layers(t, spark):
+    """The feed's items of the newest layers of labelled documents."""
+    day = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd"))
+    made = lambda v: F.struct(day.alias("last_generated"), F.col(v).cast("int").alias("version"))
+    layers = F.create_map(F.lit("summary"), made("quality"), F.lit("caselaw"), made("toxic"))
+    record = F.struct(F.lit(None).cast("string").alias("law"), F.col("doc_id").alias("article"), F.lit(None).cast("string").alias("article_suffix"), F.lit("").alias("title"), layers.alias("layers"))
+    articles = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id").select(F.col("lang").alias("law_dir"), record.alias("record"))
+    return publish.feed_items(publish.feed_entries(articles, laws=("en", "fr", "de", "es"))).drop("suffix")
+
+
+@query("WITH e AS (SELECT d.doc_id, l.quality, f FROM documents d LEFT JOIN labels l USING (doc_id), (VALUES (0), (1), (2)) x(f) WHERE d.lang IS NOT NULL) SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS total_articles, CAST(count(*) FILTER (CASE WHEN quality IS NULL THEN f = 0 ELSE f = 0 OR f = 2 AND doc_id % 2 = 0 OR f = 1 END) AS BIGINT) AS errors, false AS valid FROM e")
+def tree_report(t, spark):
+    """The number of articles and errors of a content tree."""
+    d = t("documents").where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("law_dir"), T.dir_name(F.col("doc_id"), F.lit("")).alias("art_dir"))
+    none = F.array().cast("array<string>")
+    metas = d.join(t("labels"), "doc_id").select("law_dir", "art_dir", F.upper("law_dir").alias("law"), F.create_map().cast("map<string,int>").alias("layers"), none.alias("problems"))
+    files = d.where("doc_id % 2 = 1").select("law_dir", "art_dir", F.lit("summary.md").alias("file"))
+    return validate.tree_report(d, validate.tree_errors(d.drop("doc_id"), files, metas))
+
+
+@query("""SELECT coalesce(lang, '') AS law, doc_id AS number, f || '.md' AS file, '# ' || h || chr(10) || chr(10) || 'Art. ' || CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, '') || ' — ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Art. ' || CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, '') END || chr(10) AS text
+FROM documents, (VALUES ('summary', 'Übersicht', 3), ('doctrine', 'Doktrin', 5), ('caselaw', 'Rechtsprechung', 7)) x(f, h, m) WHERE doc_id % m > 0""")
+def scaffold_files(t, spark):
+    """The placeholder files that a scaffold adds to what is there."""
+    d = t("documents").select(F.coalesce("lang", F.lit("")).alias("law"), F.col("doc_id").alias("number"), F.lit("").alias("suffix"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("title"))
+    there = F.explode(F.array_compact(F.array(*[F.when(F.col("number") % m == 0, f"{f}.md") for f, m in (("summary", 3), ("doctrine", 5), ("caselaw", 7))])))
+    _, _, bodies = inventory.scaffold(d, d.limit(0), d.select("law", "number", "suffix", there.alias("file")))
+    return bodies.select("law", "number", "file", "text")
+
+
+@query("SELECT p_brand AS law, arg_max(p_name, p_partkey) FILTER (p_partkey % 3 = 0) AS in_force_since, arg_max(p_name, p_partkey) FILTER (p_partkey % 3 = 1) AS fedlex_url, max(p_partkey) FILTER (p_partkey % 3 = 2) AS lexfind_id FROM part GROUP BY p_brand")
+def legislation_lines(t, spark):
+    """The last line of each kind in the answers on laws."""
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("**In force since:** "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("- [DE] "), "p_name")).otherwise(F.concat(F.lit("**LexFind ID:** "), F.col("p_partkey").cast("string")))
+    lines = t("part").groupBy(F.col("p_brand").alias("law")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return inventory.legislation_metadata(lines).select("law", "in_force_since", "fedlex_url", F.col("lexfind_id").cast("long").alias("lexfind_id"))
+
+
+@query(_LOG + " SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS completed, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS failed, CAST(count(*) FILTER (status = 'pending') AS BIGINT) AS pending, CAST(sum(total_cost) AS DOUBLE) AS total_cost FROM s")
+def state_counts(t, spark):
+    """How many articles are in each state, and what all cost."""
+    log = _log(t)
+    return summary(replay(log), log)
+
+
+@query("""WITH r AS (SELECT doc_id, coalesce(lang, '') AS law, CASE doc_id % 3 WHEN 0 THEN 'summary' WHEN 1 THEN 'doctrine' ELSE 'caselaw' END AS layer, 'Art. ' || CAST(doc_id AS VARCHAR) || ' ' || coalesce(lang, '') AS name, 'content/' || lower(coalesce(lang, '')) || '/art-' || CASE WHEN doc_id < 1000 THEN right('00' || CAST(doc_id AS VARCHAR), 3) ELSE CAST(doc_id AS VARCHAR) END AS dir, source FROM documents)
+SELECT doc_id AS number, CASE layer WHEN 'doctrine' THEN 'opus-thinking' ELSE 'sonnet' END AS model, 'Write the ' || layer || ' layer of ' || name || '. Its directory is ' || dir || '.' || CASE WHEN source IS NOT NULL AND source <> '' AND doc_id % 2 = 0 THEN chr(10) || chr(10) || source ELSE '' END || CASE WHEN layer <> 'caselaw' AND doc_id % 5 = 0 THEN chr(10) || chr(10) || 'refs' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || 'The last attempt was rejected. Mend these issues:' || chr(10) || 'short' ELSE '' END AS prompt FROM r""")
+def generation_prompts(t, spark):
+    """A prompt for a layer of each document, with what is known of its article."""
+    key = [F.coalesce("lang", F.lit("")).alias("law"), F.col("doc_id").alias("number"), F.lit("").alias("suffix")]
+    layer = F.when(F.col("doc_id") % 3 == 0, "summary").when(F.col("doc_id") % 3 == 1, "doctrine").otherwise("caselaw")
+    d = t("documents")
+    asked = d.select(*key, layer.alias("layer"), F.when(F.col("doc_id") % 4 == 0, "short").alias("feedback"))
+    refs = d.where("doc_id % 5 = 0").select(*key, F.lit("refs").alias("refs"))
+    made = prompts.generation(prompts.enrich(asked, d.where("doc_id % 2 = 0").select(*key, F.col("source").alias("article_text")), refs, d.limit(0).select(*key, F.lit("").alias("materials"))))
+    return made.select("number", "model", "prompt")
+
+
+@query("SELECT doc_id % 100 AS article, min(CASE WHEN quality = 1 THEN 'publish' ELSE 'reject' END) FILTER (toxic = 0) AS base_verdict, CAST(sum(doc_id) FILTER (toxic = 0) AS DOUBLE) AS base_cost, CAST(count(*) FILTER (toxic = 0) AS DOUBLE) AS base_n, min(CASE WHEN quality = 1 THEN 'publish' ELSE 'reject' END) FILTER (toxic = 1) AS think_verdict, CAST(sum(doc_id) FILTER (toxic = 1) AS DOUBLE) AS think_cost FROM labels GROUP BY ALL")
+def variant_table(t, spark):
+    """Two variants side by side for each article."""
+    runs = t("labels").select((F.col("doc_id") % 100).alias("article"), F.when(F.col("toxic") == 0, "base").otherwise("think").alias("variant"), F.when(F.col("quality") == 1, "publish").otherwise("reject").alias("verdict"), F.col("doc_id").cast("double").alias("cost"), F.lit(1.0).alias("seconds"))
+    made = prompts.compare_variants(runs, ["base", "think"])
+    return made.select("article", "base_verdict", "base_cost", F.coalesce("base_seconds", F.lit(0.0)).alias("base_n"), "think_verdict", "think_cost")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS law, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') || chr(10) || coalesce(source, '') END AS text, CASE doc_id % 4 WHEN 1 THEN 'RPC error: ' || coalesce(source, '') WHEN 2 THEN 'no data in answer: event' WHEN 3 THEN 'OSError: busy' END AS error FROM documents""")
+def rpc_answers(t, spark):
+    """What answers of a service hold, or what is wrong with them."""
+    item = lambda c: F.struct(F.lit("text").alias("type"), F.coalesce(c, F.lit("")).alias("text"))
+    good = F.to_json(F.struct(F.struct(F.array(item(F.col("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), item(F.col("source"))).alias("content")).alias("result")))
+    bad = F.to_json(F.struct(F.struct(F.lit(1).alias("code"), F.coalesce("source", F.lit("")).alias("message")).alias("error")))
+    n = F.col("doc_id") % 4
+    body = F.when(n == 0, F.concat(F.lit("event: message\ndata: "), good)).when(n == 1, F.concat(F.lit("data: "), bad)).when(n == 2, "event")
+    got = t("documents").select(F.col("doc_id").cast("string").alias("law"), body.alias("body"), F.when(n == 3, "OSError: busy").alias("error"))
+    return parse_answers(got)
