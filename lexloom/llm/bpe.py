@@ -157,8 +157,8 @@ def _byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def frequent_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, c): the DICTIONARY_WORDS most frequent words of DICTIONARY_BYTES bytes at most of texts (text)."""
+def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
+    """(word, c): the `most` most frequent words of DICTIONARY_BYTES bytes at most of texts (text)."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = regex.compile(pattern), Counter()
@@ -178,10 +178,10 @@ def frequent_words(docs: DataFrame, pattern: str) -> DataFrame:
         yield flush()
 
     found = docs.mapInArrow(counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    return found.where("c > 1").orderBy(F.desc("c"), "word").limit(DICTIONARY_WORDS)
+    return found.where("c > 1").orderBy(F.desc("c"), "word").limit(most)
 
 
-def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The frequent words, where the ids of each start, and all ids."""
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap) -> tuple[list[byt
 
     sample = docs.where(hash_unit("text") < DICTIONARY_SHARE)
     parts = docs.sparkSession.sparkContext.defaultParallelism * 2
-    rows = frequent_words(sample, pattern).select("word").repartition(parts).mapInArrow(with_bytes, "word binary, bytes array<int>")
+    rows = frequent_words(sample, pattern, most).select("word").repartition(parts).mapInArrow(with_bytes, "word binary, bytes array<int>")
     got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
     if not len(got):
         return [], np.zeros(1, np.int64), np.empty(0, np.int32)
@@ -238,17 +238,18 @@ class _Ids:
         return _gather(self.flat, start, length), length
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY_WORDS, remembered: int = REMEMBERED) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary).
 
     A null or empty text has no tokens. Repeated rows and null ids each give their row; other columns are ignored;
-    an empty table gives an empty result. Texts are encoded whole, whatever their length.
+    an empty table gives an empty result. Texts are encoded whole, whatever their length. dictionary and remembered, the
+    words that tasks share and that one keeps, trade memory for folds and leave the result as it is.
     """
     spark: SparkSession = docs.sparkSession
     ranks = read_ranks(rank_path)
     literal = RankMap(spark, ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words, starts, flat = _dictionary(rows.select("text"), pattern, literal)
+    words, starts, flat = _dictionary(rows.select("text"), pattern, literal, dictionary)
     known, tables = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((starts, flat, ranks))
     del words, starts, flat
 
@@ -282,7 +283,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                                     new.append(run[i].encode())
                                 found[i] = x
                     parts.append(np.array(found, np.int32).tobytes())
-                full = len(code_of) - fixed > REMEMBERED
+                full = len(code_of) - fixed > remembered
                 if full:
                     for w in own:
                         del code_of[w]

@@ -16,6 +16,9 @@ from .toxicity import fit_toxicity, score_toxicity
 #: Documents go from this toxicity score on, where op1_toxicity calls them toxic, and below this probability of their
 #: language.
 REJECT_TOXIC, MIN_LANGUAGE = 0.3, 0.4
+#: Words of the encoder's dictionary and of a task's own: fewer than by default, as executors that ran the stages before
+#: have less memory left.
+SHARED_WORDS = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +69,4 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, n_tokens and the digests of ids and decoded bytes. Null and empty texts
     have no tokens; repeated rows and null doc_ids each give a row; other columns are left out; an empty table gives an
     empty result."""
-    return digests(encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return digests(encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, dictionary=SHARED_WORDS, remembered=SHARED_WORDS))
