@@ -17,21 +17,27 @@ from pyspark.sql import functions as F
 from ._common import texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 
 # Kinds of elements, and words of class and id attributes that mark boilerplate or comments.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
-BOILER = frozenset("nav footer aside form menu dialog button select fieldset".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
+BOILER = frozenset("nav footer aside form menu dialog button select fieldset label".split())
+BOILER_ROLES = frozenset("navigation contentinfo complementary banner search dialog alertdialog".split())
+MAIN_ROLES = frozenset("main article".split())
+#: Elements whose start ends an open one, each with those that it ends.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 SILENT = frozenset("head svg math canvas object audio video map option select button".split())
 MAIN = frozenset(("article", "main"))
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related rail search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookiebar cookies consent copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended recommendations related rail search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post postbody story".split())
 #: Words that leave a compound name what its other words make it ("site-footer"), and elements whose names tell of a
 #: layout or a topic, not of themselves.
-NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons container entry form global group icon icons inner item items left link links list main outer page panel post primary right secondary section site story text top wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons container entry form global group icon icons inline inner item items left link links list main outer page panel post primary right secondary section site story text top wrap wrapper".split())
+#: Whole blocks that say no more than that an advert follows.
+AD_LABELS = frozenset("ad ads advertisement advertisements anzeige publicidad publicité sponsored werbung".split())
 NOT_BOILER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 
 
@@ -60,13 +66,16 @@ def _named(token: str, inside: bool) -> tuple[bool, bool]:
 def _marks(tag: str, attrs: str, inside: bool = False) -> tuple[bool, bool, bool, bool]:
     """(boilerplate, maybe boilerplate, main, silent) as an element's name and attributes tell; inside: within main."""
     boiler, weak, main, silent = tag in BOILER or tag == "header", False, tag in MAIN, tag in SILENT
-    for name, a, b, c, hidden in _ATTR.findall(attrs) if attrs else ():
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), (a or b or c).lower()
-        if hidden or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             silent = True
             continue
-        boiler |= value in ("navigation", "contentinfo", "complementary")
-        for token in value.split() if name in ("class", "id") else ():
+        if name == "role":
+            boiler, main = boiler or value in BOILER_ROLES, main or value in MAIN_ROLES
+        if name not in ("class", "id"):
+            continue
+        for token in value.split():
             sure, maybe = _named(token, inside)
             if tag in NOT_BOILER:  # an article may still be a reader's comment
                 boiler |= tag == "article" and sure and bool(set(re.split(r"[^a-z]+", token)) & COMMENT_WORDS)
@@ -82,6 +91,9 @@ def blocks(html: str) -> list[Block]:
     """The page's text blocks in order: runs of text between block-level tags, with white space made single."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []
+    # Where the open elements of each name, and those of block level, stand in the stack, so that no tag walks it.
+    places: dict[str, list[int]] = {}
+    levels: list[int] = []
     boiler = weak = main = silent = link = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -90,22 +102,29 @@ def blocks(html: str) -> list[Block]:
     def close() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 n = text.count(" ") + 1
-                links = min(n, sum(len(entities.unescape(x).split()) for x in linked))
+                links = min(n, sum(len(x.split()) for x in linked))
                 # A weak mark holds where the block is mostly links; else the tree judges by words and links alone.
-                out.append(Block(text, n, links, boiler > 0 or (weak > 0 and 2 * links >= n), main > 0, heading))
+                out.append(Block(text, n, links, boiler > 0 or (weak > 0 and 2 * links >= n) or text.lower() in AD_LABELS, main > 0, heading))
         parts, linked = [], []
 
     def pop(to: int) -> None:
         nonlocal boiler, weak, main, silent, link
         while len(stack) > to:
-            tag, b, k, m, s = stack.pop()
+            tag, b, k, m, s = stack[-1]
+            if b and tag not in BLOCK and tag != "a":
+                close()
+            stack.pop()
+            places[tag].pop()
+            if levels and levels[-1] == len(stack):
+                levels.pop()
             boiler, weak, main, silent, link = boiler - b, weak - k, main - m, silent - s, link - (tag == "a")
 
     def add(text: str) -> None:
         if not silent and text:
+            text = entities.unescape(text)  # by run, as a reference ends where markup starts
             parts.append(text)
             if link:
                 linked.append(text)
@@ -124,12 +143,10 @@ def blocks(html: str) -> list[Block]:
         if end:
             if end in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == end:
-                    pop(i)
-                    break
-                if end not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end tag closes nothing outside its block
+            at_end = places.get(end)
+            # An inline end tag closes nothing outside its block.
+            if at_end and (end in BLOCK or not levels or at_end[-1] > levels[-1]):
+                pop(at_end[-1])
             if end in BLOCK:
                 heading = False
         elif start:
@@ -137,14 +154,10 @@ def blocks(html: str) -> list[Block]:
                 close()
                 if start not in ("br", "hr"):
                     heading = bool(re.fullmatch("h[1-6]", start))
-                    # A paragraph, and the inline elements left open in it, end where a block starts.
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p" or (stack[i][0] == start and start in ("li", "td", "th", "tr", "dt", "dd")):
-                            pop(i)
-                            break
-                        if stack[i][0] in BLOCK:
-                            pop(i + 1)
-                            break
+                    # A paragraph, with the inline elements left open in it, ends where a block starts.
+                    ends = ENDS.get(start, ())
+                    while levels and ((top := stack[levels[-1]][0]) == "p" or top in ends):
+                        pop(levels[-1])
             if start in _RAW:
                 done = _RAW[start].search(html, at)
                 at = len(html) if done is None else html.find(">", done.start()) + 1 or len(html)
@@ -152,13 +165,15 @@ def blocks(html: str) -> list[Block]:
             if start in VOID or (m[3] or "").endswith("/"):
                 continue
             if start == "a" and link:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "a":
-                        pop(i)
-                        break
+                pop(places["a"][-1])
             b, k, c, s = _marks(start, m[3], main > 0)
             if start == "header" and main:
                 b = False  # an article's own header holds its title
+            if b and start not in BLOCK and start != "a":
+                close()  # boilerplate within a line is a block of its own
+            places.setdefault(start, []).append(len(stack))
+            if start in BLOCK:
+                levels.append(len(stack))
             stack.append((start, b, k, c, s))
             boiler, weak, main, silent, link = boiler + b, weak + k, main + c, silent + s, link + (start == "a")
     close()
@@ -176,68 +191,35 @@ def features(bs: list[Block]) -> np.ndarray:
     return np.array([[b.boiler, b.main, has, b.heading, *pad[i + 1], *pad[i], *pad[i + 2]] for i, b in enumerate(bs)], float).reshape(-1, len(FEATURES))
 
 
-# The labelled table. Each row has the columns of FEATURES, then 1 for main text.
+# The labelled table. Each line is a page; `+` or `-` before a block's text tells whether it is main text,
+# and a number stands for so many words.
 LABELLED = """
-1 0 1 0 1 1.00 0 0.00 1 1.00 0
-1 0 1 0 1 1.00 1 1.00 1 1.00 0
-1 0 1 0 3 1.00 1 1.00 9 0.00 0
-1 0 1 0 9 0.00 1 1.00 8 0.00 0
-1 0 1 0 14 0.20 60 0.00 0 0.00 0
-1 0 1 0 45 0.00 60 0.00 0 0.00 0
-1 1 1 0 25 0.10 30 0.00 12 0.50 0
-1 1 1 0 60 0.00 40 0.00 20 0.00 0
-1 1 1 1 2 0.00 40 0.00 20 0.00 0
-0 1 1 1 8 0.00 9 0.00 40 0.00 1
-0 1 1 0 10 0.00 8 0.00 60 0.00 1
-0 1 1 0 1 0.00 30 0.00 80 0.00 1
-0 1 1 0 3 0.00 80 0.00 14 0.20 1
-0 1 1 0 60 0.05 10 0.00 30 0.00 1
-0 1 1 0 120 0.00 60 0.00 3 0.00 1
-0 1 1 0 5 1.00 60 0.00 40 0.00 1
-0 1 1 0 1 1.00 1 1.00 1 1.00 1
-0 0 1 0 7 0.00 0 0.00 9 0.00 0
-0 0 1 0 6 0.50 1 1.00 9 0.00 0
-0 0 1 0 30 0.00 90 0.00 0 0.00 0
-0 0 1 1 12 0.00 1 1.00 8 0.00 0
-0 0 0 1 9 0.00 2 1.00 40 0.00 1
-0 0 0 1 5 0.00 30 0.00 45 0.00 1
-0 0 0 1 3 0.00 1 1.00 2 1.00 0
-0 0 0 0 40 0.00 9 0.00 50 0.00 1
-0 0 0 0 22 0.05 50 0.00 3 0.00 1
-0 0 0 0 90 0.10 20 0.00 12 0.30 1
-0 0 0 0 18 0.00 40 0.00 30 0.10 1
-0 0 0 0 5 0.00 40 0.00 30 0.00 1
-0 0 0 0 4 0.00 2 1.00 1 1.00 0
-0 0 0 0 6 0.00 1 1.00 0 0.00 0
-0 0 0 0 2 1.00 0 0.00 3 1.00 0
-0 0 0 0 12 0.90 40 0.00 10 1.00 0
-0 0 0 0 30 0.80 5 1.00 8 1.00 0
-1 0 0 0 8 0.00 40 0.00 0 0.00 0
-1 0 0 0 50 0.00 40 0.00 30 0.00 0
-1 0 0 1 6 0.00 0 0.00 40 0.00 0
-0 1 1 1 8 0.00 2 1.00 30 0.00 1
-0 1 1 1 1 0.00 6 0.00 3 0.00 1
-0 1 1 0 2 0.00 5 0.00 6 0.00 1
-0 1 1 0 4 0.00 8 0.00 14 0.20 1
-0 1 1 0 20 0.00 4 1.00 200 0.00 1
-0 1 1 0 300 0.00 9 0.00 14 0.00 1
-0 1 1 0 35 0.40 80 0.00 7 0.00 1
-0 1 1 0 6 0.00 1 0.00 1 0.00 1
-0 1 1 0 9 0.00 0 0.00 0 0.00 1
-0 1 1 0 15 0.00 200 0.00 45 0.00 1
-0 1 1 0 70 0.00 2 0.00 2 0.00 1
-0 1 1 0 1 0.00 1 0.00 5 0.00 1
-0 1 1 0 11 0.00 60 0.00 9 0.30 1
-0 0 1 0 25 0.00 40 0.00 60 0.00 0
-0 0 1 0 80 0.00 3 0.00 9 0.00 0
-0 0 1 0 1 0.00 1 1.00 1 1.00 0
-1 0 1 0 120 0.00 60 0.00 60 0.00 0
-1 1 1 0 90 0.00 60 0.00 60 0.00 0
-1 0 0 0 70 0.00 0 0.00 60 0.00 0
-1 0 0 0 1 1.00 1 1.00 1 1.00 0
+<body><nav><ul><li><a>-1</a><li><a>-1</a><li><a>-2</a></ul></nav><div class=ad>-9</div><article><h1>+8</h1><p>+10<p>+60<p>+1<p>+120<p>+3<p>+14 <a>2</a></p></article><footer>-8</footer>
+<body><header>-3</header><main><h1>+5</h1><div class=share><a>-2</a></div><p>+40<p>+300<ul><li>+4<li>+9<li>+1</ul><p><a>+5</a><p>+30</main><aside><h3>-2</h3><p>-45</aside><footer><p>-30</footer>
+<body><p>-7</p><article><p>+9</article><p>-30<p>-80<p>-1
+<body><p>-1<p>-25<article><h2>+1</h2><p>+2<p>+1</article><h3>-2</h3><p><a>-6</a>
+<body><div class=cookie-notice><p>-25</div><article><header><h1>+6</h1></header><p>+35 <a>20</a><p>+200<div id=comments><h2>-2</h2><p>-60<p>-12</div></article><form>-4</form>
+<body><nav><a>-1</a></nav><div>+40</div><div>+90</div><div><a>-1</a> <a>1</a> <a>1</a></div>
+<body><ul><li><a>-1</a><li><a>-2</a><li><a>-1</a></ul><h1>+6</h1><p>+22<p>+3<p>+50<p>+6<ul><li><a>-3</a><li><a>-4</a></ul><p><a>-2</a>
+<body><h1>+1</h1><p>+20<p>+2
+<body><p>+4
+<body>+3
+<body><h1>+2</h1>
+<body><h2>+3</h2><p>+60 <a>4</a><h2>+2</h2><p>+12 <a>3</a><p>+1
+<body><table><tr><td><a>-1</a><td><a>-2</a><td><a>-1</a></table><table><tr><td>+120<tr><td>+5<tr><td>+70 <a>15</a></table><div><a>-3</a> - <a>3</a></div>
+<body><div><a>-1</a> <a>1</a> <a>2</a> <a>1</a></div><h1>+4</h1><div>+15</div><div>+8 <a>1</a></div><div>+33</div><div>2 <a>-9</a> <a>8</a></div><footer>-50</footer>
+<body><div class=sidebar><p>-120<p>-3</div><p>+18<p>+5<p>+9<div class=newsletter><p>-20<p>-40</div>
+<body><p><a>-2</a><p>+2<p>+3<p>+1<p>+7<p>1 <a>-8</a>
+<body><div><p><a>-4</a><p><a>-7</a><p><a>-5</a></div><p>+10<p>+26 <a>6</a><p>+4
+<body><header><h1>-2</h1><p>-9</header><h1>+7</h1><p>+80<p>+1<div class=ads>-70</div><p>+44<form><p>-6<p>-15</form>
 """
 
 
+def labelled_pages(table: str = LABELLED) -> list[tuple[str, list[bool]]]:
+    """The table's pages as HTML, and whether each block is main text."""
+    return [(re.sub(r"(?<=[\s>])([+-]?)(\d+)|(^-)", lambda m: " ".join(["word"] * int(m[2] or 0)), row), [m == "+" for m in re.findall(r"([+-])\d", row)]) for row in table.strip().splitlines()]
+
+
 class Tree:
     """A binary decision tree grown by the Gini index until its leaves are pure."""
 
@@ -269,8 +251,8 @@ class Tree:
 
 
 def train_tree(table: str = LABELLED) -> Tree:
-    rows = np.array([[float(v) for v in r.split()] for r in table.strip().splitlines()])
-    return Tree(rows[:, :-1], rows[:, -1])
+    pages = labelled_pages(table)
+    return Tree(np.concatenate([features(blocks(html)) for html, _ in pages]), np.concatenate([np.array(y, float) for _, y in pages]))
 
 
 def main_text(html: str | None, tree: Tree) -> str:
