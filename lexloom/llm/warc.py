@@ -12,6 +12,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,14 @@ def _http_header(n: int) -> bytes:
 
 
 def record(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One WARC/1.1 record, uncompressed. A revisit holds the HTTP header only."""
+    """One WARC/1.1 record, uncompressed. A revisit holds the HTTP header only. copy tells apart records of one page and
+    payload; a response that others revisit has copy 0."""
     http = _http_header(len(payload))
     block = http if is_revisit else http + payload
     clean = "".join(c for c in url or "" if c >= " ").strip()
     head = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
-        ("WARC-Record-ID", f"<{_PAGE}{'' if page_id is None else page_id}:{copy}>"),
+        ("WARC-Record-ID", f"<{_PAGE}{'' if page_id is None else page_id}:{digest}:{copy}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", clean or "urn:lexloom:none"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -55,7 +57,7 @@ def record(page_id: int | None, copy: int, url: str | None, payload: bytes, dige
         ("Content-Length", str(len(block))),
     ]
     if is_revisit:
-        head[2:2] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_PAGE}{'' if refers_to is None else refers_to}:0>")]
+        head[2:2] = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_PAGE}{'' if refers_to is None else refers_to}:{digest}:0>")]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -141,20 +143,19 @@ def write_warc(pages: DataFrame, path: str | None = None, min_payload: int = 0,
         from pyspark import TaskContext
 
         out = _Shards(target, TaskContext.get().partitionId(), roll)
-        page, links_of, copies, first = object(), {}, 0, set()
+        page, links_of, copies = object(), {}, Counter()
         for b in batches:
             ids, kinds, shas, lasts, urls = (b.column(i).to_pylist() for i in range(5))
             for i, html in enumerate(texts(b, "html")):
                 if ids[i] != page:
-                    page, links_of, copies, first = ids[i], {}, 0, set()
+                    page, links_of, copies = ids[i], {}, Counter()
                 if kinds[i] == 0:
                     links_of[shas[i]] = lasts[i]
                     continue
                 sha = hashlib.sha1(html).digest()
-                again = sha.hex() in links_of and (links_of[sha.hex()] != page or sha in first)
-                first.add(sha)
-                out.add(record(page, copies, urls[i], html, base64.b32encode(sha).decode(), links_of.get(sha.hex()), again))
-                copies += 1
+                again = sha.hex() in links_of and (links_of[sha.hex()] != page or copies[sha] > 0)
+                out.add(record(page, copies[sha], urls[i], html, base64.b32encode(sha).decode(), links_of.get(sha.hex()), again))
+                copies[sha] += 1
         out.close()
         cols = list(zip(*out.done, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "records", "bytes", "sha256"])
