@@ -5,20 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _WORDS_AT_ONCE = 200_000  # a text of more words is hashed in overlapping runs, so memory stays bounded
-_pows: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    have = _pows.get(int(base))
-    if have is None or len(have) < n:
-        size = 1 << max(12, n.bit_length())
-        have = np.ones(size, np.uint64)
-        np.multiply.accumulate(np.full(size - 1, base, np.uint64), out=have[1:])
-        _pows[int(base)] = have
-    return have
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -28,18 +15,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _run_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """Polynomial hashes, over a prefix sum, of the k words from each start."""
-    text = b" ".join(words)
-    a = np.frombuffer(text, np.uint8)
-    n = len(a)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers(_B, n)[:n], out=sums[1:])
-    gaps = np.flatnonzero(a == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.concatenate((gaps, [n]))
-    s, e = starts[: len(words) - k + 1], ends[k - 1 :]
-    h = (sums[e] - sums[s]) * _powers(_BINV, n)[s]
-    return _mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hashes of the k words from each start, chained over 64-bit hashes of the words."""
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - k + 1
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = _mix((h + each[i : i + n]) * np.uint64(0xD6E8FEB86659FD93))
+    return h
 
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
