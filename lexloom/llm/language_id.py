@@ -141,16 +141,17 @@ def fit_counts(samples: dict[str, list[bytes]]) -> LanguageModel:
 
 
 def fit_languages(docs: DataFrame) -> LanguageModel:
-    """Learns from docs (doc_id, text, lang): FIT_ROWS rows, shared by the languages, of 1 to FIT_CHARS characters,
-    chosen by a hash. Rows with a null text or lang teach nothing; from an empty table nothing is learnt. Of the trees'
+    """Learns from docs (doc_id, text, lang): FIT_ROWS rows, shared by the languages, chosen by a hash, and of a
+    longer text FIT_CHARS characters from a place chosen by a hash. Rows with a null text or lang teach nothing; from an empty table nothing is learnt. Of the trees'
     contexts those seen once, and all but the MAX_CONTEXTS most frequent, are left out: texts then take more bits there,
     in every language alike."""
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND length(text) > 0").where(F.length("text") <= FIT_CHARS)
+    rows = rows.where("lang IS NOT NULL AND length(text) > 0")
     counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     each = FIT_ROWS / max(1, counts.count())
     share = broadcast_if_small(counts.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("n")).alias("share")))
-    picked = rows.join(share, "lang").where(hash_unit("id", "text") < F.col("share")).select("lang", "text")
+    start = F.pmod(F.xxhash64("text", "id"), F.greatest(F.length("text") - FIT_CHARS, F.lit(0)) + 1) + 1
+    picked = rows.join(share, "lang").where(hash_unit("id", "text") < F.col("share")).select("lang", F.col("text").substr(start.cast("int"), F.lit(FIT_CHARS)).alias("text"))
 
     def fitted(frame):
         return fit_counts({lang: sorted(t.encode() for t in part["text"]) for lang, part in frame.groupby("lang")})
