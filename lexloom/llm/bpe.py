@@ -171,7 +171,7 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY_WORDS)
 
         for b in batches:
             for text in texts(b):
-                for words in split_runs((text or b"").decode(), split):
+                for words in split_runs((text or b"").decode("utf-8", "replace"), split):
                     seen.update(words)
                 if len(seen) > REMEMBERED:
                     yield flush()
@@ -241,7 +241,7 @@ class _Ids:
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY_WORDS, remembered: int = REMEMBERED) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary).
 
-    A null or empty text has no tokens. Repeated rows and null ids each give their row; other columns are ignored;
+    A null or empty text has no tokens; bytes that are no UTF-8 count as U+FFFD. Repeated rows and null ids each give their row; other columns are ignored;
     an empty table gives an empty result. Texts are encoded whole, whatever their length. dictionary and remembered, the
     words that tasks share and that one keeps, trade memory for folds and leave the result as it is.
     """
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
                 parts, new = [], []
-                for run in split_runs((text or b"").decode(), split):
+                for run in split_runs((text or b"").decode("utf-8", "replace"), split):
                     found = list(map(code_of.get, run))
                     if None in found:
                         for i, x in enumerate(found):

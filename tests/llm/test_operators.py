@@ -62,6 +62,15 @@ def test_jaccard_join_split_blocks(docs, monkeypatch):
     assert got == _links(docs.collect())
 
 
+def test_jaccard_join_hashes_of_regular_words(spark):
+    """Words of one length whose letters follow the Thue-Morse sequence meet in any polynomial hash modulo 2^64."""
+    w = "".join("xy"[bin(i).count("1") % 2] for i in range(4096))
+    v = w.translate(str.maketrans("xy", "yx"))
+    rows = [(1, f"{w} q w e r"), (2, f"{v} q w e r"), (3, f"{w} q w e r {v} q w e r"), (4, f"{w} Q w e r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect()) == _links(docs.collect())
+
+
 def test_divide_skip():
     rng = random.Random(2)
     for _ in range(200):
@@ -86,6 +95,14 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_bad_bytes(spark):
+    import public_tokenizers as P
+
+    docs = spark.sql("SELECT 1L AS doc_id, cast(x'6162ff20ce' AS string) AS text UNION ALL SELECT 2L, 'ab\ufffd \ufffd'")
+    a, b = sorted(bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect(), key=lambda r: r.doc_id)
+    assert a.ids == b.ids and bytes(a.decoded).decode() == "ab\ufffd \ufffd"
+
+
 def test_heap_merges():
     import public_tokenizers as P
     import tiktoken
@@ -137,7 +154,7 @@ def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header>Top</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies here</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five<!-- no --></article><div id=comments><p>Nice read of the day it was</p></div><form>Name</form><footer>&copy; me</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "plain < text"), (1, "u", page)]
     got = html_blocks.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [r.text for r in got][:3] == ["A & B One two three four Five", "", ""] and len(got) == 5
+    assert [r.text for r in got][:3] == ["A & B One two three four Five", "", ""] and got[3].text == "plain < text" and len(got) == 5
     assert got[0].n_chars == len(got[0].text)
 
 
@@ -152,6 +169,46 @@ def test_html_names_that_only_hold_a_boilerplate_word():
         assert text(f"<article><p>{long}</p>{part}</article>") == long
 
 
+HELD_OUT = """
+<body><div id=header>-4</div><ul class=menu><li><a>-1</a><li><a>-3</a></ul><div><h1>+7</h1><p>+33<p>+4<p>+71 <a>6</a><p>+2</div><div class=footer>-11</div>
+<body><nav><a>-2</a> <a>1</a></nav><main><h1>+3</h1><p>+55<blockquote>+16</blockquote><p>+8</main><p>-5<footer>-3</footer>
+<body><p><a>-3</a><p>+90<p>+1<p>+27 <a>9</a><p><a>-2</a> <a>4</a>
+<body><article><h1>+5</h1><p>+1<p>+2<section class=comments><p>-40<p>-9</section></article><article><p>+17</article><div>-30</div>
+<body><table><tr><td><a>-2</a><td><a>-6</a></table><table><tr><td>+41<td>+2<tr><td>+12</table>
+<body><h1>+6</h1><div class=cookies>-20</div><p>+19 <a>11</a><p>+19<aside><p>-60</aside><p>+3<p>1 <a>-7</a><form>-3<label>-2</label></form>
+<body><h3>+2</h3><p>+5
+<body><div class=topbar><a>-1</a></div><p>+12<p>+65<p><a>-6</a><p>+7 <a>1</a>
+<body><div role=navigation><p>-14</div><div role=main><p>+5<p>+140<p><a>+3</a></div><div role=contentinfo>-25</div>
+"""
+
+
+def test_html_tree_on_held_out_pages():
+    tree, right, n = html_blocks.train_tree(), 0, 0
+    for page, main in html_blocks.labelled_pages(HELD_OUT):
+        got = tree.predict(html_blocks.features(html_blocks.blocks(page))).tolist()
+        assert len(got) == len(main)
+        right, n = right + sum(a == b for a, b in zip(got, main, strict=True)), n + len(main)
+    assert n >= 50 and right / n >= 0.95
+
+
+def test_html_parsing():
+    tree, long = html_blocks.train_tree(), " ".join(["word"] * 20)
+    text = lambda page: html_blocks.main_text(page, tree)
+    assert text(f"<body><h1>Title</h1><p>{long}</p><p>Short end.</p>") == f"Title {long} Short end."
+    assert text("<body><p>A short paragraph here.</p></body>") == "A short paragraph here."
+    kept = "<p title='the hidden cost'>One</p><p data-id='comments'>two</p><p data-role=navigation>three</p>"
+    assert text(f"<article>{kept}</article>") == "One two three"
+    for part in ("<div class=newsletter-signup-inline>Join us</div>", "<div class=recommended>Other</div>", "<div class=cookiebar>We</div>", "<label>Mail</label>", "<p>Advertisement</p>", "<p hidden>No</p>", "<div class=ad><span><p>No</p></span></div>"):
+        assert text(f"<article><p>{long}</p>{part}</article>") == long
+    assert text("<article><p>One<span class=ad>No</span> two <span class=share>No<p>three</article>") == "One two three"
+    assert text("<p>&am<b>p;</b> &amp;lt;") == "&amp; &lt;"
+    assert text("<ul><li><p>a<li>b</ul><table><tr><td>c<tr><td>d</table>") == "a b c d"
+    # Open elements that no end tag meets aren't searched again for each tag.
+    n = 100_000
+    for page in ("<b>" * n + "x" + "</i>" * n, "<i><div>" + "<b>" * n + "x" + "</i>" * n, "<b>" * n + "x" + "<p>" * n):
+        assert text(page) == "x"
+
+
 def test_warc(spark):
     rows = [(1, "u", "a<b>é"), (2, "u2", "a<b>é"), (3, None, None), (4, "", ""), (5, "x", "only"), (5, "x", "only"), (6, "y", "q" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -166,6 +223,23 @@ def test_warc(spark):
     assert sums(path) == sums(warc.write_warc(pages, roll=300))
 
 
+def test_warc_revisits_name_the_record_of_their_payload(spark):
+    rows = [(1, "u", "B"), (5, "u", "A"), (5, "u", "B"), (5, "v", "B"), (7, "u", "A")]
+    path = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    payload_of, revisits = {}, []
+    for r in spark.read.parquet(path + "/manifest").collect():
+        with open(f"{path.removeprefix('file:')}/{r.file}", "rb") as f:
+            for h, block in warc.parse_records(iter([f.read()])):
+                assert h["WARC-Record-ID"] not in payload_of
+                if h["WARC-Type"] == "response":
+                    payload_of[h["WARC-Record-ID"]] = block[-1:]
+                elif h["WARC-Type"] == "revisit":
+                    revisits.append((h["WARC-Refers-To"], h["WARC-Payload-Digest"]))
+                    payload_of[h["WARC-Record-ID"]] = None
+    assert len(revisits) == 3
+    assert all("sha1:" + warc.payload_digest(payload_of[to]) == digest for to, digest in revisits)
+
+
 def test_warc_shards_and_manifest(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "RANGE_BYTES", 20_000)
     rng = random.Random(9)
@@ -236,6 +310,16 @@ def test_pipeline_drops_what_the_operator_calls_toxic(spark, monkeypatch):
     assert [r.doc_id for r in pipeline_stages.drop_toxic(spark, docs, "").collect()] == [0, 1]
 
 
+def test_language_of_long_texts_alone_is_learnt(spark):
+    de, en = "und der die das nicht schön größer ".split(" "), "and the that which does not greater ".split(" ")
+    rng = random.Random(4)
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, some(de, 6000) if i % 2 else some(en, 30), "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit_languages(docs), ["lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+
+
 def test_ppm_is_a_distribution():
     m = language_id.fit_counts({"a": [b"abracadabra abracad"], "b": [b"the other one"]})
     assert np.allclose(np.exp(-m.bits.reshape(-1, m.symbols, 2)).sum(1), 1, atol=1e-3)
