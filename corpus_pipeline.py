@@ -15,7 +15,7 @@ STAGES = [
     ("tokens", tokenize),
 ]
 
-#: Trained models, sampling by hash and byte-pair merges have no SQL form; the tests hold each stage to brute force.
+#: Trained models, sampling by hash and byte-pair merges have no SQL form; the tests cover their operators.
 ORACLE_SQL = None
 
 
