@@ -1,8 +1,10 @@
 """Copies of images, cropped or edited, by local descriptors.
 
-Corners are found at several scales; around each, a patch turned to its own orientation gives 256 binary tests. Images
-meet in hash tables on 128-bit pieces of the descriptors; of each pair that met, all descriptors are compared by Hamming
-distance, and matches that agree on one placement make a link.
+Corners are found at several scales; around each, a patch turned to its own orientation gives 256 binary tests. All
+descriptors are compared by Hamming distance, groups of images against groups, and matches that agree on one placement
+make a link. That is quadratic: at 16 of 256 bits one pair of corners of unlike images in 10,000 matches, so no table of
+pieces tells the pairs apart that can link. Where a caller may miss weak links, images meet in hash tables on 128-bit
+pieces of the descriptors, and only pairs that met are compared.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, written
+from ._common import broadcast_if_small, handing_back, slices, written
 from .components import connected_components
 
 SCALES, TESTS, RADIUS = (1.0, 1.5, 2.0), 256, 7
@@ -32,6 +34,13 @@ PIECE, TABLES = 128, TESTS // 128
 MIN_SHARED = 2
 #: Contents with a piece from which on it is common: those meet by two pieces and their layout.
 COMMON = 64
+#: Groups of contents for the comparison of all: at most GROUPS, of about GROUP_CONTENTS or more. A task holds one group
+#: and reads another past it, so a content travels once for each group.
+GROUPS, GROUP_CONTENTS = 16, 128
+#: Descriptors compared at once, of the group that is held and of the one that is read.
+TILE_HELD, TILE_READ = 8192, 32
+#: Contents read at once.
+READ_CONTENTS = 500
 #: Pixels worked on at once.
 PIXELS_AT_ONCE = 1 << 19
 DESCRIPTOR = np.dtype([("x", "<i4"), ("y", "<i4"), ("angle", "u1"), ("scale", "u1"), ("bits", "u1", TESTS // 8)])
@@ -229,6 +238,92 @@ def _layouts(contents: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFra
     return written(hot.select("content").distinct(), "hot-contents"), pairs
 
 
+def _matches(held: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two arrays of descriptors, as rows of four 64-bit words, of all pairs that differ by MAX_BITS at most."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    words = np.ascontiguousarray(held.T)
+    for lo in range(0, len(held), TILE_HELD):
+        a = words[:, lo : lo + TILE_HELD]
+        for at in range(0, len(read), TILE_READ):
+            b = read[at : at + TILE_READ]
+            # half of the bits rules out most pairs
+            apart = np.bitwise_count(b[:, :1] ^ a[0]) + np.bitwise_count(b[:, 1:2] ^ a[1])
+            j, i = np.divmod(np.flatnonzero(apart <= MAX_BITS), a.shape[1])
+            near = np.bitwise_count(held[lo + i] ^ b[j]).sum(1) <= MAX_BITS
+            if near.any():
+                out.append((lo + i[near], at + j[near]))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def _all_links(contents: DataFrame) -> DataFrame:
+    """Every pair (a, b), a > b, of contents with MIN_VOTES matches on one placement. A task holds one group of contents
+    and reads its own or another one past it."""
+    rows = written(contents.dropDuplicates(["content"]), "different-contents")
+    groups = max(1, min(GROUPS, -(-rows.count() // GROUP_CONTENTS)))
+    own = F.pmod(F.xxhash64("content"), F.lit(groups)).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct((F.least(g, own) * groups + F.greatest(g, own)).alias("task"), (own > g).alias("read")))
+    dealt = rows.select("content", "d", F.explode(meets).alias("m")).select("m.task", "m.read", "content", "d")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by task, those that are held first."""
+        key, held, ids, ds, of, words = None, [], None, [], None, None
+
+        def linked(names: list[int], read: list[np.ndarray], same: bool) -> Iterator[pa.RecordBatch]:
+            column = np.repeat(np.arange(len(read)), [len(x) for x in read])
+            i, j = _matches(words, np.concatenate(read)["bits"].view("<u8"))
+            pairs, votes = np.unique(of[i] * len(read) + column[j], return_counts=True)
+            out = []
+            for x, y in zip(*np.divmod(pairs[votes >= MIN_VOTES], len(read)), strict=True):
+                a, b = (ids[x], ds[x]), (names[y], read[y])
+                if a[0] < b[0]:
+                    a, b = b, a
+                elif same or a[0] == b[0]:  # a pair of one group is met twice
+                    continue
+                if placements(a[1], b[1]) >= MIN_VOTES:
+                    out.append((a[0], b[0]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+        def hold() -> None:
+            nonlocal ids, ds, of, words
+            ids, ds = [c for c, _ in held], [d for _, d in held]
+            held.clear()
+            of = np.repeat(np.arange(len(ds)), [len(x) for x in ds])
+            words = np.concatenate(ds)["bits"].view("<u8") if ds else np.empty((0, TESTS // 64), np.uint64)
+
+        def within() -> Iterator[pa.RecordBatch]:
+            """The pairs of the group that is held, where the task is that group's own."""
+            for at in range(0, len(ids) if key is not None and key // groups == key % groups else 0, READ_CONTENTS):
+                yield from linked(ids[at : at + READ_CONTENTS], ds[at : at + READ_CONTENTS], True)
+
+        for b in slices(batches, READ_CONTENTS):
+            names, read = [], []
+            for task, is_read, content, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if task != key:
+                    if read:
+                        yield from linked(names, read, False)
+                        names, read = [], []
+                    if held:
+                        hold()
+                        yield from within()
+                    key, ids = task, None
+                d = np.frombuffer(d.as_buffer(), DESCRIPTOR)
+                if is_read:
+                    if ids is None:
+                        hold()
+                    names.append(content)
+                    read.append(d)
+                else:
+                    held.append((content, d))
+            if read:
+                yield from linked(names, read, False)
+        if held:
+            hold()
+            yield from within()
+
+    return dealt.repartition("task").sortWithinPartitions("task", "read").mapInArrow(handing_back(compare), "a long, b long")
+
+
 def _links(contents: DataFrame) -> DataFrame:
     """Every candidate pair (a, b), a > b, with MIN_VOTES matches on one placement."""
     pairs = written(_candidates(contents).distinct(), "pairs")
@@ -245,13 +340,14 @@ def _links(contents: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_d", "b_d").mapInArrow(verify, "a long, b long")
 
 
-def image_copies(images: DataFrame) -> DataFrame:
+def image_copies(images: DataFrame, exact: bool = True) -> DataFrame:
     """(image_id, width, height, pixels: grey bytes by row) -> image_id, n_links, component_id (the least id reachable).
 
     Images of equal content fall together before anything is compared. Null pixels and sizes that don't fit link with
     nothing; null ids stay null. n_links counts the other contents an image's content links with, each compared with it
-    directly; a large group of linked contents takes the square of its size. Repeated rows each give a row; an empty
-    table gives an empty result; other columns are ignored.
+    directly; a large group of linked contents takes the square of its size. All contents are compared with each other,
+    in bounded memory; without exact, only those that share MIN_SHARED pieces, which misses weak links. Repeated rows
+    each give a row; an empty table gives an empty result; other columns are ignored.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +374,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     plain = images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels"))
     found = written(plain.mapInArrow(read, "image_id long, content long, d binary"), "descriptors")
     members = found.select("image_id", "content")
-    links = written(_links(_contents(found)), "image-links")
+    links = written((_all_links if exact else _links)(_contents(found)), "image-links")
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
     contents = members.groupBy("content").agg(F.min("image_id").alias("least"))

@@ -441,3 +441,21 @@ def test_image_copies_meet_in_pairs(spark, monkeypatch):
     for common in (64, 1):
         monkeypatch.setattr(image_copies, "COMMON", common)
         assert [r.n_links for r in image_copies.image_copies(images).orderBy("image_id").collect()] == want
+
+
+def test_image_copies_that_share_no_piece(spark, monkeypatch):
+    """Links whose matches all differ in both halves of their bits, and those between groups, in tiles of any size."""
+    rng = np.random.default_rng(3)
+    drawn = [image_copies.render(i * 53 + 1) for i in range(60)]
+    rows = [_image(i, a) for i, a in enumerate(drawn)]
+    rows += [_image(100 + i, np.clip(a.astype(int) + rng.integers(-14, 15, a.shape), 0, 255).astype(np.uint8)) for i, a in enumerate(drawn)]
+    found = [image_copies.describe(np.frombuffer(bytes(px), np.uint8).reshape(1, h, w))[0] for _, w, h, px in rows]
+    keys = [set(image_copies._pieces(d).ravel().tolist()) for d in found]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if image_copies.placements(found[i], found[j]) >= image_copies.MIN_VOTES]
+    assert any(len(keys[i] & keys[j]) < image_copies.MIN_SHARED for i, j in links)
+    want = [sum(i in x for x in links) for i in range(len(rows))]
+    images = spark.createDataFrame(rows, IMAGES)
+    for group, tile in ((128, 8192), (20, 100)):
+        monkeypatch.setattr(image_copies, "GROUP_CONTENTS", group)
+        monkeypatch.setattr(image_copies, "TILE_HELD", tile)
+        assert [r.n_links for r in image_copies.image_copies(images).orderBy("image_id").collect()] == want
