@@ -21,9 +21,13 @@ from .components import connected_components
 from .shingles import shingle_set, signature
 
 #: Shingles in the lowest REGION of the hash space are counted over all documents; prefixes prefer the rare ones there.
-#: Those of two or more sets come last, by their number; of more than MAX_FREQUENT such shingles (9 bytes each) only the
-#: most frequent do. The order decides how much is compared, never what links.
-REGION, MAX_FREQUENT = 0.36, 3_000_000
+#: Those of FREQUENT_FROM or more sets come last, by their number; of more than MAX_FREQUENT (9 bytes each) only the most
+#: frequent do. A filter tells the others that several sets have, by one byte each up to FILTER_BYTES, after which it
+#: fills up. The order decides how much is compared, never what links.
+REGION, FREQUENT_FROM, MAX_FREQUENT, FILTER_BYTES = 0.36, 5, 3_000_000, 1 << 26
+#: Bytes of a block of the filter, in which a shingle sets two bits; blocks that one task fills.
+FILTER_BLOCK, FILTER_SLICE = 64, 4096
+_EDGE = int(REGION * (1 << 30))  # of the region, in the first 30 bits of a hash
 #: Sets whose index is searched first in a block; all are searched after that, but for the largest component's.
 LEADERS = 8
 #: Shingles that one task holds at once; a larger block is dealt out as pairs of chunks.
@@ -34,8 +38,49 @@ def _need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and the level of each: its number of sets, up to 255."""
+class Filter:
+    """Which shingles of the region two or more sets have: for all those added, and a few others by chance."""
+
+    def __init__(self, shingles: int) -> None:
+        self.blocks = max(1, min(shingles, FILTER_BYTES) // FILTER_BLOCK)
+        self.bits = np.zeros(self.blocks * FILTER_BLOCK, np.uint8)
+
+    def _block(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(34)) * np.uint64(self.blocks) // np.uint64(_EDGE)).astype(np.int64)
+
+    @staticmethod
+    def _spots(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        two = [((h >> np.uint64(9 * i)) & np.uint64(511)).astype(np.int64) for i in range(2)]
+        return [(bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8)) for bit in two]
+
+    def fill(self, found: DataFrame) -> Filter:
+        """Adds the hashes h of a table; a slice of the filter is one task's, and the driver lays them end to end."""
+        block = f"shiftrightunsigned(h, 34) * {self.blocks}L div {_EDGE}"
+
+        def bits(key: tuple, table: pa.Table) -> pa.Table:
+            h = table["h"].to_numpy().astype(np.int64).view(np.uint64)
+            at, out = (self._block(h) - key[0].as_py() * FILTER_SLICE) * FILTER_BLOCK, np.zeros(FILTER_SLICE * FILTER_BLOCK, np.uint8)
+            for byte, bit in self._spots(h):
+                np.bitwise_or.at(out, at + byte, bit)
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+        made = Filter(0)
+        made.blocks, made.bits = self.blocks, self.bits.copy()
+        for row in found.select("h", F.expr(f"({block}) div {FILTER_SLICE}").alias("slice")).groupBy("slice").applyInArrow(bits, "slice long, bits binary").toLocalIterator():
+            lo = row["slice"] * FILTER_SLICE * FILTER_BLOCK
+            made.bits[lo : lo + FILTER_SLICE * FILTER_BLOCK] = np.frombuffer(row["bits"], np.uint8)[: len(made.bits) - lo]
+        return made
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at, out = self._block(h) * FILTER_BLOCK, np.ones(len(h), bool)
+        for byte, bit in self._spots(h):
+            out &= (self.bits[at + byte] & bit) > 0
+        return out
+
+
+def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, Filter]:
+    """The most frequent shingles, sorted; the level of each: its number of sets, up to 255; and a filter of the others
+    that several sets have."""
     edge = np.uint64(int(REGION * (1 << 64)))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,36 +98,38 @@ def _order_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     found = docs.select("text").mapInArrow(handing_back(counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     found = written(found.select("h", F.least("c", F.lit(255)).cast("short").alias("c")), "counts", 1000)
-    least, total = 256, 0
+    least, total = 256, 0  # the least level of the frequent ones; those below FREQUENT_FROM go to the filter in any case
     for row in found.groupBy("c").count().orderBy(F.desc("c")).collect():  # at most 254 rows
-        if total + row["count"] > MAX_FREQUENT:
+        if row["c"] < FREQUENT_FROM or total + row["count"] > MAX_FREQUENT:
             break
         least, total = row["c"], total + row["count"]
     top = found.where(F.col("c") >= least).toArrow()
     h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], top.column("c").to_numpy().astype(np.uint8)[order]
+    seldom = found.where(F.col("c") < least)
+    return h[order], top.column("c").to_numpy().astype(np.uint8)[order], Filter(seldom.count()).fill(seldom)
 
 
-def _prefix(h: np.ndarray, p: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first p shingles of a sorted set: the rare ones of the region, those beyond it, then the frequent ones by
-    level; each by hash."""
-    keys, levels = frequent
-    if not len(keys):
-        return h[:p]
+def _prefix(h: np.ndarray, p: int, frequent: tuple[np.ndarray, np.ndarray, Filter]) -> np.ndarray:
+    """The first p shingles of a sorted set: the rare ones of the region, those of the filter, those beyond the region,
+    then the frequent ones by level; each by hash. What is beyond may be frequent, so it comes after what few sets have."""
+    keys, levels, seldom = frequent
     low = h[: np.searchsorted(h, np.uint64(int(REGION * (1 << 64))))]
-    at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-    common = keys[at] == low
-    front = low[~common][:p]
-    if len(front) < p:
-        front = np.concatenate((front, h[len(low) :][: p - len(front)]))
+    level = np.where(seldom.holds(low), 1, 0)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+        level = np.where(keys[at] == low, levels[at], level)
+    front = low[level == 0][:p]
+    for more in (low[level == 1], h[len(low) :]):
+        if len(front) < p:
+            front = np.concatenate((front, more[: p - len(front)]))
     if len(front) < p:
-        last, level = low[common], levels[at[common]]
+        last, level = low[level > 1], level[level > 1]
         front = np.concatenate((front, last[np.lexsort((last, level))][: p - len(front)]))
     return front
 
 
-def _postings(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray, Filter], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Member rows (doc set) of each document, and the postings of each new set of this task."""
     done: set[int] = set()
     names = ["k", "sig", "n", "doc", "member"]
