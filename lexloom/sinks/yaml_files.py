@@ -43,7 +43,10 @@ def to_yaml(value, kind: DataType) -> str:
     """A value made by _entries as block YAML; other letters than ASCII stand as they are."""
     import yaml
 
-    return yaml.dump(plain(value, kind), default_flow_style=False, allow_unicode=True, sort_keys=False)
+    dump = lambda by: yaml.dump(plain(value, kind), Dumper=by, default_flow_style=False, allow_unicode=True, sort_keys=False)
+    text = dump(getattr(yaml, "CDumper", yaml.Dumper))
+    # libyaml is the faster, but escapes what lies beyond 16 bits
+    return dump(yaml.Dumper) if "\\U" in text else text
 
 
 def yaml_text(records: DataFrame, record: str = "record", output: str = "yaml") -> DataFrame:

@@ -27,7 +27,7 @@ def yaml_to_json(c: Column) -> Column:
 
         def one(text: str | None) -> str | None:
             try:
-                got = yaml.safe_load(text) if text else None
+                got = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if text else None
                 return json.dumps(got, default=str) if isinstance(got, dict) else None
             except yaml.YAMLError:
                 return None

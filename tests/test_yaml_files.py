@@ -90,3 +90,18 @@ def test_concepts_and_contested(spark, tmp_path):
         text = (tmp_path / f"concepts/s/{file}").read_text()
         assert yaml_text(df).first().yaml == text and list(yaml.safe_load(text)) == [n for n in df.schema["record"].dataType.names if n != "quality_score"]
         assert file == "concept.yaml" or "- label: a\n  summary: b\n" in text
+
+
+def test_libyaml_writes_what_python_writes(monkeypatch):
+    """Records are dumped by libyaml, letters of any plane standing as they are."""
+    import yaml
+    from pyspark.sql.types import StructType
+
+    from lexloom.sinks.yaml_files import to_yaml
+
+    kind, used = StructType().add("t", "string"), []
+    real = yaml.dump
+    monkeypatch.setattr(yaml, "dump", lambda *a, **k: used.append(k["Dumper"]) or real(*a, **k))
+    for t in ("Übergang", "x: y # z", "\U0001f600 smile", "null", "2026-01-01", "é" * 200, " a\tb "):
+        assert to_yaml({"t": t}, kind) == real({"t": t}, default_flow_style=False, allow_unicode=True, sort_keys=False)
+    assert not yaml.__with_libyaml__ or used.count(yaml.CDumper) == 7
