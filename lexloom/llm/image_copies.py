@@ -34,13 +34,10 @@ PIECE, TABLES = 128, TESTS // 128
 MIN_SHARED = 2
 #: Contents with a piece from which on it is common: those meet by two pieces and their layout.
 COMMON = 64
-#: Groups of contents for the comparison of all: at most GROUPS, of about GROUP_CONTENTS or more. A task holds one group
-#: and reads another past it, so a content travels once for each group.
-GROUPS, GROUP_CONTENTS = 16, 128
+#: Contents, and bytes of descriptors, of a group for the comparison of all; pairs of groups that a task is handed at once.
+GROUP_CONTENTS, GROUP_BYTES, PAIRS_AT_ONCE = 500, 2 << 20, 4
 #: Descriptors compared at once, of the group that is held and of the one that is read.
 TILE_HELD, TILE_READ = 8192, 32
-#: Contents read at once.
-READ_CONTENTS = 500
 #: Pixels worked on at once.
 PIXELS_AT_ONCE = 1 << 19
 DESCRIPTOR = np.dtype([("x", "<i4"), ("y", "<i4"), ("angle", "u1"), ("scale", "u1"), ("bits", "u1", TESTS // 8)])
@@ -255,73 +252,68 @@ def _matches(held: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
+def _groups(contents: DataFrame) -> DataFrame:
+    """(no, contents, sizes, descriptors): each different content once, GROUP_CONTENTS or GROUP_BYTES to a row; no is one of
+    its contents."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ds, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array([len(d) // DESCRIPTOR.itemsize for d in ds], np.int64).tobytes()]), pa.array([b"".join(ds)])]
+            ids.clear()
+            ds.clear()
+            return pa.RecordBatch.from_arrays(cols, ["no", "contents", "sizes", "descriptors"])
+
+        for b in batches:
+            for content, d in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(content)
+                ds.append(d.as_py())
+                size += len(ds[-1])
+                if len(ids) >= GROUP_CONTENTS or size >= GROUP_BYTES:
+                    yield flush()
+                    size = 0
+        if ids:
+            yield flush()
+
+    return contents.dropDuplicates(["content"]).mapInArrow(handing_back(pack), "no long, contents binary, sizes binary, descriptors binary")
+
+
 def _all_links(contents: DataFrame) -> DataFrame:
-    """Every pair (a, b), a > b, of contents with MIN_VOTES matches on one placement. A task holds one group of contents
-    and reads its own or another one past it."""
-    rows = written(contents.dropDuplicates(["content"]), "different-contents")
-    groups = max(1, min(GROUPS, -(-rows.count() // GROUP_CONTENTS)))
-    own = F.pmod(F.xxhash64("content"), F.lit(groups)).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.struct((F.least(g, own) * groups + F.greatest(g, own)).alias("task"), (own > g).alias("read")))
-    dealt = rows.select("content", "d", F.explode(meets).alias("m")).select("m.task", "m.read", "content", "d")
+    """Every pair (a, b), a > b, of contents with MIN_VOTES matches on one placement, written. Each pair of groups is a row
+    of a cross join, whose tasks read the groups from where they are written: nothing is dealt out for it, so its disk is
+    that of the contents."""
+    groups = written(_groups(contents), "image-groups")
+    side = lambda n: groups.select(*[F.col(c).alias(f"{n}_{c}") for c in groups.columns])
+    met = side("x").join(side("y").hint("shuffle_replicate_nl"), F.col("x_no") >= F.col("y_no"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by task, those that are held first."""
-        key, held, ids, ds, of, words = None, [], None, [], None, None
-
-        def linked(names: list[int], read: list[np.ndarray], same: bool) -> Iterator[pa.RecordBatch]:
-            column = np.repeat(np.arange(len(read)), [len(x) for x in read])
-            i, j = _matches(words, np.concatenate(read)["bits"].view("<u8"))
-            pairs, votes = np.unique(of[i] * len(read) + column[j], return_counts=True)
-            out = []
-            for x, y in zip(*np.divmod(pairs[votes >= MIN_VOTES], len(read)), strict=True):
-                a, b = (ids[x], ds[x]), (names[y], read[y])
-                if a[0] < b[0]:
-                    a, b = b, a
-                elif same or a[0] == b[0]:  # a pair of one group is met twice
-                    continue
-                if placements(a[1], b[1]) >= MIN_VOTES:
-                    out.append((a[0], b[0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-        def hold() -> None:
-            nonlocal ids, ds, of, words
-            ids, ds = [c for c, _ in held], [d for _, d in held]
-            held.clear()
-            of = np.repeat(np.arange(len(ds)), [len(x) for x in ds])
-            words = np.concatenate(ds)["bits"].view("<u8") if ds else np.empty((0, TESTS // 64), np.uint64)
-
-        def within() -> Iterator[pa.RecordBatch]:
-            """The pairs of the group that is held, where the task is that group's own."""
-            for at in range(0, len(ids) if key is not None and key // groups == key % groups else 0, READ_CONTENTS):
-                yield from linked(ids[at : at + READ_CONTENTS], ds[at : at + READ_CONTENTS], True)
-
-        for b in slices(batches, READ_CONTENTS):
-            names, read = [], []
-            for task, is_read, content, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if task != key:
-                    if read:
-                        yield from linked(names, read, False)
-                        names, read = [], []
-                    if held:
-                        hold()
-                        yield from within()
-                    key, ids = task, None
-                d = np.frombuffer(d.as_buffer(), DESCRIPTOR)
-                if is_read:
-                    if ids is None:
-                        hold()
-                    names.append(content)
-                    read.append(d)
-                else:
-                    held.append((content, d))
-            if read:
-                yield from linked(names, read, False)
-        if held:
-            hold()
-            yield from within()
-
-    return dealt.repartition("task").sortWithinPartitions("task", "read").mapInArrow(handing_back(compare), "a long, b long")
+        for batch in batches:
+            for row in slices([batch], 1):
+                values = [c[0] for c in row.columns]
+                (no, *x), (other, *y) = values[:4], values[4:]
+                (a, of_a, da), (b, of_b, db) = (_group(*(v.as_buffer() for v in g)) for g in (x, y))
+                i, j = _matches(da["bits"].view("<u8"), db["bits"].view("<u8"))
+                pairs, votes = np.unique(of_a[i] * len(b) + of_b[j], return_counts=True)
+                out, starts_a, starts_b = [], np.searchsorted(of_a, np.arange(len(a) + 1)), np.searchsorted(of_b, np.arange(len(b) + 1))
+                for p, q in zip(*np.divmod(pairs[votes >= MIN_VOTES], len(b)), strict=True):
+                    one, two = (a[p], da[starts_a[p] : starts_a[p + 1]]), (b[q], db[starts_b[q] : starts_b[q + 1]])
+                    if one[0] < two[0]:
+                        if no.as_py() == other.as_py():  # a pair of one group is met twice
+                            continue
+                        one, two = two, one
+                    if one[0] != two[0] and placements(one[1], two[1]) >= MIN_VOTES:
+                        out.append((one[0], two[0]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return written(met.mapInArrow(handing_back(compare), "a long, b long"), "image-links", PAIRS_AT_ONCE)
+
+
+def _group(contents, sizes, descriptors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contents of a row of _groups, whose each descriptor is, and the descriptors."""
+    ids = np.frombuffer(contents, np.int64)
+    return ids, np.repeat(np.arange(len(ids)), np.frombuffer(sizes, np.int64)), np.frombuffer(descriptors, DESCRIPTOR)
 
 
 def _links(contents: DataFrame) -> DataFrame:
@@ -374,7 +366,7 @@ def image_copies(images: DataFrame, exact: bool = True) -> DataFrame:
     plain = images.select(F.col("image_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), F.col("pixels"))
     found = written(plain.mapInArrow(read, "image_id long, content long, d binary"), "descriptors")
     members = found.select("image_id", "content")
-    links = written((_all_links if exact else _links)(_contents(found)), "image-links")
+    links = _all_links(_contents(found)) if exact else written(_links(_contents(found)), "image-links")
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
     contents = members.groupBy("content").agg(F.min("image_id").alias("least"))

@@ -459,3 +459,21 @@ def test_image_copies_that_share_no_piece(spark, monkeypatch):
         monkeypatch.setattr(image_copies, "GROUP_CONTENTS", group)
         monkeypatch.setattr(image_copies, "TILE_HELD", tile)
         assert [r.n_links for r in image_copies.image_copies(images).orderBy("image_id").collect()] == want
+
+
+def test_image_groups_are_not_dealt_out(spark, monkeypatch):
+    """Contents travel once, to be told apart; the comparison of all reads the groups where they are written."""
+    plans = {}
+
+    def watched(df, name, *args, **kw):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, *args, **kw)
+
+    written = image_copies.written
+    monkeypatch.setattr(image_copies, "written", watched)
+    monkeypatch.setattr(image_copies, "GROUP_CONTENTS", 4)
+    drawn = [image_copies.render(i * 77 + 5) for i in range(9)]
+    rows = [_image(i, a) for i, a in enumerate(drawn)] + [_image(100 + i, image_copies.edited(a, 0, 5)) for i, a in enumerate(drawn)]
+    got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, IMAGES)).collect()}
+    assert got == {i: i % 100 for i in got} and len(got) == 18
+    assert "Exchange" not in plans["image-links"]
