@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import hash_unit, texts
+from ._common import handing_back, hash_unit, small_batches, texts, written
 
 #: Words, and bytes of each, of the dictionary that all tasks share: it only saves folds, so the words are taken from
 #: the texts of a hash share of the documents; results never depend on it.
@@ -34,6 +34,8 @@ BITS = 20
 NO_RANK = MASK = (1 << BITS) - 1
 #: Words that a task remembers before it begins anew; characters split, and words put together, at once.
 REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 250_000, 1 << 20, 200_000
+#: Rows of an Arrow batch where texts come in: whole texts are read, and ids and bytes of all of them are handed on.
+TEXTS_AT_ONCE = 500
 #: Rows, and bytes of codes, of a batch between the steps of a task.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 
@@ -177,7 +179,7 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY_WORDS)
                     yield flush()
         yield flush()
 
-    found = docs.mapInArrow(counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    found = docs.mapInArrow(handing_back(counts), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return found.where("c > 1").orderBy(F.desc("c"), "word").limit(most)
 
 
@@ -190,8 +192,9 @@ def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap, most: int) -> tup
 
     sample = docs.where(hash_unit("text") < DICTIONARY_SHARE)
     parts = docs.sparkSession.sparkContext.defaultParallelism * 2
-    rows = frequent_words(sample, pattern, most).select("word").repartition(parts).mapInArrow(with_bytes, "word binary, bytes array<int>")
-    got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
+    rows = frequent_words(sample, pattern, most).select("word").repartition(parts).mapInArrow(handing_back(with_bytes), "word binary, bytes array<int>")
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
     if not len(got):
         return [], np.zeros(1, np.int64), np.empty(0, np.int32)
     ids = got.column("ids").chunk(0)
@@ -256,8 +259,17 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text as codes of its words, with the bytes of the words that this task meets first."""
         split = regex.compile(pattern)
-        code_of = {w.decode(): i for i, w in enumerate(known.value)}
-        fixed, own = len(code_of), []
+        own, new = [], []
+
+        class Codes(dict):
+            def __missing__(self, word: str) -> int:
+                own.append(word)
+                new.append(word.encode())
+                self[word] = got = len(self)
+                return got
+
+        code_of = Codes((w.decode(), i) for i, w in enumerate(known.value))
+        fixed = len(code_of)
         out: list[tuple] = []
         held = 0
 
@@ -270,26 +282,15 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                parts, new = [], []
-                for run in split_runs((text or b"").decode("utf-8", "replace"), split):
-                    found = list(map(code_of.get, run))
-                    if None in found:
-                        for i, x in enumerate(found):
-                            if x is None:
-                                x = code_of.get(run[i])
-                                if x is None:
-                                    x = code_of[run[i]] = len(code_of)
-                                    own.append(run[i])
-                                    new.append(run[i].encode())
-                                found[i] = x
-                    parts.append(np.array(found, np.int32).tobytes())
+                parts = [np.fromiter(map(code_of.__getitem__, run), np.int32, len(run)).tobytes() for run in split_runs((text or b"").decode("utf-8", "replace"), split)]
                 full = len(code_of) - fixed > remembered
                 if full:
                     for w in own:
                         del code_of[w]
-                    own = []
-                out.append((doc, b"".join(parts), new, full))
+                    own.clear()
+                out.append((doc, b"".join(parts), new.copy(), full))
                 held += len(out[-1][1]) + 8 * sum(map(len, new))
+                new.clear()
                 if len(out) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
                     yield flush()
                     held = 0
@@ -356,13 +357,15 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     given += len(out)
                     out.clear()
 
-    coded = rows.mapInArrow(code, "doc_id long, codes binary, new array<array<int>>, reset boolean")
+    coded = rows.mapInArrow(handing_back(code), "doc_id long, codes binary, new array<array<int>>, reset boolean")
     folded = F.transform("new", lambda w: F.when(F.size(w) > FOLD_BYTES, F.concat(F.array(F.lit(-1)), w)).otherwise(fold_merges(w, literal)))
-    return coded.select("doc_id", "codes", folded.alias("new"), "reset").mapInArrow(put_together, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return coded.select("doc_id", "codes", folded.alias("new"), "reset").mapInArrow(handing_back(put_together), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Of what encode() returns, the digests, written, so that whole texts, ids and bytes come in small Arrow batches."""
+    rows = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return written(rows, "token-digests", TEXTS_AT_ONCE)
 
 
 def sha256(data: bytes) -> str:

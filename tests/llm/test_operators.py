@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import bpe, html_blocks, image_copies, jaccard_join, language_id, license_scan, mixing, mtree, toxicity, warc
@@ -477,3 +478,31 @@ def test_image_groups_are_not_dealt_out(spark, monkeypatch):
     got = {r.image_id: r.component_id for r in image_copies.image_copies(spark.createDataFrame(rows, IMAGES)).collect()}
     assert got == {i: i % 100 for i in got} and len(got) == 18
     assert "Exchange" not in plans["image-links"]
+
+
+def test_bpe_texts_come_in_small_batches(spark, monkeypatch):
+    """Neither Spark nor a Python step holds more whole texts at once than TEXTS_AT_ONCE."""
+    import public_tokenizers
+
+    taken, at_once = [], []
+
+    def watched(df, name, batch_rows=None, **kw):
+        taken.append((name, batch_rows))
+        with bpe.small_batches(spark, batch_rows):
+            at_once.append(max(r.n for r in df.sparkSession.range(100, numPartitions=1).mapInArrow(_batch_sizes, "n long").collect()))
+        return written(df, name, batch_rows, **kw)
+
+    written = bpe.written
+    monkeypatch.setattr(bpe, "written", watched)
+    monkeypatch.setattr(bpe, "TEXTS_AT_ONCE", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"word{i} of the text {'ab' * i}") for i in range(60)], "doc_id long, text string")
+    got = bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).orderBy("doc_id").collect()
+    assert [r.decoded_sha256 for r in got] == [bpe.sha256(r.text.encode()) for r in docs.orderBy("doc_id").collect()]
+    assert taken == [("token-digests", 7)] and at_once == [7]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def _batch_sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
