@@ -1,13 +1,12 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Candidate blocks come from prefix postings (every linked pair shares a shingle among the n - ceil(t n) + 1 first ones
-in one global order); inside a block an inverted index is searched by DivideSkip: short lists are merged, long ones
-probed by binary search, and the overlap decides. Postings are reduced to chains of neighbours in size, never to pairs.
+in one global order); inside a block an inverted index is searched by DivideSkip: short lists are merged by
+counting, long ones probed by binary search, and the overlap decides. Postings are reduced to chains of neighbours in size, never to pairs.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -28,8 +27,13 @@ REGION, FREQUENT_FROM, MAX_FREQUENT, FILTER_BYTES = 0.36, 5, 3_000_000, 1 << 26
 #: Bytes of a block of the filter, in which a shingle sets two bits; blocks that one task fills.
 FILTER_BLOCK, FILTER_SLICE = 64, 4096
 _EDGE = int(REGION * (1 << 30))  # of the region, in the first 30 bits of a hash
-#: Sets whose index is searched first in a block; all are searched after that, but for the largest component's.
+#: Sets that are compared first in a block; all are searched after that, but for the largest component's.
 LEADERS = 8
+#: For each value of a byte, which of its bits are set.
+_BITS = (np.arange(1 << LEADERS)[:, None] >> np.arange(LEADERS)) & 1
+#: Lists are merged by counting where documents' numbers are at most so many times their entries, else by sorting; and
+#: long ones are merged too where they have at most so many entries for each document to probe.
+COUNTED_FROM, PROBE_COST = 4, 16
 #: Shingles that one task holds at once; a larger block is dealt out as pairs of chunks.
 BLOCK_SHINGLES = 6_000_000
 
@@ -198,16 +202,19 @@ class _Union:
 
 
 def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of short sorted lists, merged over a heap, with their number of occurrences."""
-    out: dict[int, int] = {}
-    for d in heapq.merge(*[x.tolist() for x in lists]) if len(lists) > 1 else [d for x in lists for d in x.tolist()]:
-        out[d] = out.get(d, 0) + 1
-    return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
+    """Documents of sorted lists, in order, with their number of occurrences."""
+    flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    if not len(flat) or int(flat.max()) > COUNTED_FROM * len(flat):
+        return np.unique(flat, return_counts=True)
+    hits = np.bincount(flat)
+    docs = np.flatnonzero(hits)
+    return docs, hits[docs]
 
 
 def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents that are in at least `need` of the sorted lists, with their exact number of lists. The longest lists,
-    fewer than `need`, are left out of the merge and probed for the documents that can still reach it."""
+    fewer than `need`, are left out of the merge and probed for the documents that can still reach it, or merged too
+    where those are so many that probes would take longer."""
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < need or need < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -216,9 +223,16 @@ def divide_skip(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndar
     docs, hits = _merge(short)
     keep = hits >= need - skip
     docs, hits = docs[keep], hits[keep]
+    entries = np.cumsum([len(x) for x in long[::-1]])[::-1]  # of a list and those after it
     for i, x in enumerate(long):
         if not len(docs):
             break
+        if entries[i] <= PROBE_COST * len(docs) * (len(long) - i):
+            found, more = _merge(long[i:])
+            at = np.minimum(np.searchsorted(found, docs), len(found) - 1)
+            hits = hits + np.where(found[at] == docs, more[at], 0)
+            able = hits >= need
+            return docs[able], hits[able]
         at = np.minimum(np.searchsorted(x, docs.astype(x.dtype, copy=False)), len(x) - 1)
         hits = hits + (x[at] == docs)
         able = hits + (len(long) - i - 1) >= need
@@ -257,7 +271,6 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
     del flat
     need = [_need(n, percent) for n in sizes]
     able = [i for i in range(m) if len(shared[i]) >= need[i]]
-    none = np.empty(0, np.int64)
 
     def search(i: int, lists: list[np.ndarray]) -> bool:
         joined = False
@@ -268,22 +281,26 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[int]:
                 joined = True
         return joined
 
-    # Most copies of one text link to its first, so an index of a few leaders settles them with short lists.
+    # Most copies of one text link to its first, so a few leaders settle them: a bit of a token tells which leaders have it.
     leaders: list[int] = []
-    index: dict[int, list[int]] = {}
+    has = np.zeros(len(many), np.uint8)
+    oldest = 0
     for i in able:
-        mine = shared[i].tolist()
-        if leaders and search(i, [np.array(index[t]) if t in index else none for t in mine]):
+        mine = has[shared[i]]
+        joined = False
+        for slot, both in enumerate(np.bincount(mine, minlength=1 << LEADERS) @ _BITS if leaders else ()):
+            if slot < len(leaders) and both >= need[i] and linked(int(both), i, leaders[slot]):
+                uf.join(i, leaders[slot])
+                joined = True
+        if joined:
             continue
-        leaders.append(i)
-        for t in mine:
-            index.setdefault(t, []).append(i)
-        if len(leaders) > LEADERS:
-            old = leaders.pop(0)
-            for t in shared[old].tolist():
-                del index[t][0]
-                if not index[t]:
-                    del index[t]
+        if len(leaders) < LEADERS:
+            leaders.append(i)
+        else:
+            has[shared[leaders[oldest]]] &= np.uint8(255 - (1 << oldest))
+            leaders[oldest] = i
+        has[shared[i]] |= np.uint8(1 << oldest)
+        oldest = (oldest + 1) % LEADERS
     roots = np.array([uf.find(i) for i in able])
     kinds, sizes_of = np.unique(roots, return_counts=True)
     if len(kinds) <= 1:
