@@ -2,7 +2,8 @@
 
 Candidate blocks come from prefix postings (every linked pair shares a shingle among the n - ceil(t n) + 1 first ones
 in one global order); inside a block an inverted index is searched by DivideSkip: short lists are merged by
-counting, long ones probed by binary search, and the overlap decides. Postings are reduced to chains of neighbours in size, never to pairs.
+counting, long ones probed by binary search, and the overlap decides. Postings are reduced to chains of neighbours in
+size, never to pairs.
 """
 
 from __future__ import annotations
