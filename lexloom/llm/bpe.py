@@ -13,6 +13,7 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ BUCKETS = 1 << 16
 BITS = 20
 NO_RANK = MASK = (1 << BITS) - 1
 #: Words that a task remembers before it begins anew; characters split, and words put together, at once.
-REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE = 250_000, 1 << 20, 200_000
+REMEMBERED, CHARS_AT_ONCE, TOKENS_AT_ONCE, WORDS_AT_ONCE = 250_000, 1 << 20, 200_000, 20_000
 #: Rows of an Arrow batch where texts come in: whole texts are read, and ids and bytes of all of them are handed on.
 TEXTS_AT_ONCE = 500
 #: Rows, and bytes of codes, of a batch between the steps of a task.
@@ -159,31 +160,32 @@ def _byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
+def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY_WORDS, remembered: int = REMEMBERED) -> DataFrame:
     """(word, c): the `most` most frequent words of DICTIONARY_BYTES bytes at most of texts (text)."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = regex.compile(pattern), Counter()
 
-        def flush() -> pa.RecordBatch:
-            rows = [(w.encode(), c) for w, c in seen.items()]
-            rows = [(w, c) for w, c in rows if len(w) <= DICTIONARY_BYTES]
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = iter(seen.items())
+            while part := list(islice(rows, WORDS_AT_ONCE)):
+                part = [(x, c) for w, c in part if len(x := w.encode()) <= DICTIONARY_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["word", "c"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], ["word", "c"])
 
         for b in batches:
             for text in texts(b):
                 for words in split_runs((text or b"").decode("utf-8", "replace"), split):
                     seen.update(words)
-                if len(seen) > REMEMBERED:
-                    yield flush()
-        yield flush()
+                if len(seen) > remembered:
+                    yield from flush()
+        yield from flush()
 
     found = docs.mapInArrow(handing_back(counts), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return found.where("c > 1").orderBy(F.desc("c"), "word").limit(most)
 
 
-def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap, most: int, remembered: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The frequent words, where the ids of each start, and all ids."""
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +194,13 @@ def _dictionary(docs: DataFrame, pattern: str, ranks: RankMap, most: int) -> tup
 
     sample = docs.where(hash_unit("text") < DICTIONARY_SHARE)
     parts = docs.sparkSession.sparkContext.defaultParallelism * 2
-    rows = frequent_words(sample, pattern, most).select("word").repartition(parts).mapInArrow(handing_back(with_bytes), "word binary, bytes array<int>")
+    rows = frequent_words(sample, pattern, most, remembered).select("word").repartition(parts).mapInArrow(handing_back(with_bytes), "word binary, bytes array<int>")
     with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
         got = rows.select("word", fold_merges(F.col("bytes"), ranks).alias("ids")).toArrow().combine_chunks()
     if not len(got):
-        return [], np.zeros(1, np.int64), np.empty(0, np.int32)
+        return pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, np.int32)
     ids = got.column("ids").chunk(0)
-    return got.column("word").to_pylist(), _row_ends(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return got.column("word").chunk(0), _row_ends(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -252,7 +254,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     ranks = read_ranks(rank_path)
     literal = RankMap(spark, ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words, starts, flat = _dictionary(rows.select("text"), pattern, literal, dictionary)
+    words, starts, flat = _dictionary(rows.select("text"), pattern, literal, dictionary, remembered)
     known, tables = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((starts, flat, ranks))
     del words, starts, flat
 
@@ -268,7 +270,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                 self[word] = got = len(self)
                 return got
 
-        code_of = Codes((w.decode(), i) for i, w in enumerate(known.value))
+        code_of = Codes((w.as_py().decode(), i) for i, w in enumerate(known.value))
         fixed = len(code_of)
         out: list[tuple] = []
         held = 0
