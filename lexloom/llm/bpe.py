@@ -25,7 +25,7 @@ from ._common import handing_back, hash_unit, small_batches, texts, written
 
 #: Words, and bytes of each, of the dictionary that all tasks share: it only saves folds, so the words are taken from
 #: the texts of a hash share of the documents; results never depend on it.
-DICTIONARY_WORDS, DICTIONARY_BYTES, DICTIONARY_SHARE = 250_000, 40, 0.2
+DICTIONARY_WORDS, DICTIONARY_BYTES, DICTIONARY_SHARE = 500_000, 40, 0.2
 #: The fold takes time with the square of a word's length; longer words merge over a heap instead.
 FOLD_BYTES = 400
 #: Buckets of the literal rank map; a power of two.
@@ -89,27 +89,25 @@ def _let(value, body):
 def fold_merges(word_bytes, ranks: RankMap):
     """Token ids of a word, given its bytes as an array of ints: each step of the fold merges the leftmost pair of the
     least rank; a step that finds no pair leaves the word as it is. A token is one long: the rank of the pair that it
-    opens, its place, its id; so the least element is the pair to merge."""
+    opens, the place of its first byte, its id; so the least element is the pair to merge, and no two are equal."""
     token = lambda x: x.bitwiseAND(_long(MASK))
-    packed = lambda rank, place, x: F.shiftleft(rank, 2 * BITS).bitwiseOR(F.shiftleft(place, BITS)).bitwiseOR(x)
-    no = _long(NO_RANK)
+    no, place, below = _long(NO_RANK), _long(MASK << BITS), _long((1 << 2 * BITS) - 1)
     placed = F.transform(word_bytes, lambda b, i: F.shiftleft(i.cast("long"), BITS).bitwiseOR(F.get(ranks.of_byte, b)))
     pairs = F.zip_with(word_bytes, F.slice(word_bytes, 2, F.size(word_bytes)), lambda a, b: F.shiftleft(F.coalesce(F.get(ranks.of_bytes, a * 256 + b), no), 2 * BITS))
     start = F.zip_with(placed, pairs, lambda x, y: x.bitwiseOR(y))
 
     def step(t, _):
         def merge(least):
-            rank, place = F.shiftright(least, 2 * BITS), token(F.shiftright(least, BITS))
-            at = place.cast("int")
+            rank = F.shiftright(least, 2 * BITS)
 
             def beside(x):  # the pair becomes one token, whose id is the rank; it and the token before get new ranks
-                now = packed(F.coalesce(ranks.rank(rank, token(x["after"])), no), place, rank)
-                before = packed(ranks.rank(token(x["before"]), rank), place - 1, token(x["before"]))
-                put = lambda y: F.transform(F.array_remove(t, x["right"]), lambda e, i: F.when(i < at - 1, e).when(i > at, e - _long(1 << BITS)).when(i == at, y["now"]).otherwise(y["before"]))
+                now = F.shiftleft(F.coalesce(ranks.rank(rank, token(x["after"])), no), 2 * BITS).bitwiseOR(least.bitwiseAND(place)).bitwiseOR(rank)
+                before = F.shiftleft(ranks.rank(token(x["before"]), rank), 2 * BITS).bitwiseOR(x["before"].bitwiseAND(below))
+                put = lambda y: F.transform(F.array_remove(t, x["right"]), lambda e: F.when(e == least, y["now"]).when(e == x["before"], y["before"]).otherwise(e))
                 return _let(F.struct(now.alias("now"), before.alias("before")), put)
 
-            around = F.struct(F.get(t, at - 1).alias("before"), F.get(t, at + 1).alias("right"), F.get(t, at + 2).alias("after"))
-            return F.when(rank == no, t).otherwise(_let(around, beside))
+            around = lambda at: _let(F.struct(F.get(t, at - 2).alias("before"), F.get(t, at).alias("right"), F.get(t, at + 1).alias("after")), beside)
+            return F.when(rank == no, t).otherwise(_let(F.array_position(t, least).cast("int"), around))
 
         return _let(F.array_min(t), merge)
 
