@@ -23,6 +23,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_store(path: str):
+    """pyarrow's file system of a path or URI, and the path within it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 class Files:
     """File operations under one root, by Hadoop's file system of that root."""
 

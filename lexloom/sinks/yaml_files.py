@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions import text as T
+from .files import open_store
 
 
 def _entries(c: Column, kind: DataType) -> Column:
@@ -65,22 +67,21 @@ class Staged(WriterCommitMessage):
 
 
 class _TreeWriter(DataSourceWriter):
-    """Writes a file for each row; row_file gives its names below the root, and its text or None for no file."""
+    """Writes a file for each row; row_file gives its names below the root, and its text or None for no file.
 
-    def __init__(self, path: str) -> None:
-        self._path, self._staging = path.rstrip("/"), f"{path.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    A task stages its files by number, with a list of their paths. Where a staging folder is given, commit moves none and
+    notes the tasks' folders for _write_tree."""
+
+    def __init__(self, path: str, staging: str | None = None) -> None:
+        self._path, self._noted = path.rstrip("/"), staging is not None
+        self._staging = staging or f"{self._path}/.staging-{uuid.uuid4().hex}"
 
     def row_file(self, row: Row) -> tuple[list[str], str | None]:
         raise NotImplementedError
 
-    def _open(self, path: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
     def write(self, rows: Iterator[Row]) -> Staged:
-        store, top = self._open(f"{self._staging}/{uuid.uuid4().hex}")
-        n, made = 0, set()
+        store, top = open_store(f"{self._staging}/{uuid.uuid4().hex}")
+        made: dict[str, None] = {}
         for r in rows:
             names, text = self.row_file(r)
             if text is None:
@@ -88,47 +89,80 @@ class _TreeWriter(DataSourceWriter):
             for name in names:
                 if not name or "/" in name or name.startswith("."):
                     raise ValueError(f"no name of a directory or file: {name!r}")
-            path = posixpath.join(top, *names)
+            path = "/".join(names)
             if path in made:
-                raise ValueError(f"two records for {'/'.join(names)}")
-            made.add(path)
-            store.create_dir(posixpath.dirname(path), recursive=True)
-            with store.open_output_stream(path) as out:
+                raise ValueError(f"two records for {path}")
+            if not made:
+                # not in a staging folder that is gone: a task that is stopped may come here after clear
+                store.create_dir(top, recursive=not self._noted)
+            with store.open_output_stream(f"{top}/{len(made)}") as out:
                 out.write(text.encode())
-            n += 1
-        return Staged(top, n)
+            made[path] = None
+        if made:
+            with store.open_output_stream(f"{top}/paths") as out:
+                out.write(json.dumps(list(made)).encode())
+        return Staged(top, len(made))
+
+    def place(self, folder: str) -> None:
+        """Moves the files that a task has staged into place; when tried again, it goes on from where it was."""
+        from pyarrow import fs
+
+        store, top = open_store(self._path)
+        with store.open_input_stream(f"{folder}/paths") as listed:
+            paths = json.loads(listed.read())
+        for i, path in enumerate(paths):
+            source, target = f"{folder}/{i}", posixpath.join(top, path)
+            store.create_dir(posixpath.dirname(target), recursive=True)
+            try:
+                store.move(source, target)
+            except OSError:
+                if [x.type for x in store.get_file_info([source, target])] != [fs.FileType.NotFound, fs.FileType.File]:
+                    raise
 
     def commit(self, messages: list[Staged | None]) -> None:
         """Moves the files of tasks that succeeded into place; nothing of other attempts is seen by anyone."""
-        from pyarrow import fs
-
-        store, top = self._open(self._path)
+        folders = [m.folder for m in messages if m is not None and m.files]
+        if self._noted:
+            store, top = open_store(self._staging)
+            with store.open_output_stream(f"{top}/folders") as out:
+                out.write(json.dumps(folders).encode())
+            return
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(self.place, folders))
+        self.clear()
 
-        def move(staged: Staged) -> None:
-            for info in store.get_file_info(fs.FileSelector(staged.folder, recursive=True)):
-                if info.is_file:
-                    target = posixpath.join(top, posixpath.relpath(info.path, staged.folder))
-                    store.create_dir(posixpath.dirname(target), recursive=True)
-                    store.move(info.path, target)
+    def begin(self) -> None:
+        """Makes the staging folder."""
+        store, top = open_store(self._staging)
+        store.create_dir(top, recursive=True)
 
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(move, [m for m in messages if m is not None and m.files]))
-        self._clear()
+    def noted(self) -> list[str]:
+        """The folders of tasks that succeeded, as commit has noted them."""
+        store, top = open_store(self._staging)
+        with store.open_input_stream(f"{top}/folders") as listed:
+            return json.loads(listed.read())
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         from pyarrow import fs
 
-        store, top = self._open(self._staging)
-        if store.get_file_info(top).type == fs.FileType.Directory:
-            store.delete_dir(top)
+        store, top = open_store(self._staging)
+        for wait in (0.1, 0.5, 2, None):
+            try:
+                if store.get_file_info(top).type == fs.FileType.Directory:
+                    store.delete_dir(top)
+                return
+            except OSError:  # a task that is being stopped has written meanwhile
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class _YamlWriter(_TreeWriter):
-    def __init__(self, path: str, file: str, kind: DataType) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, file: str, kind: DataType, staging: str | None = None) -> None:
+        super().__init__(path, staging)
         self._file, self._kind = file, kind
 
     def row_file(self, row: Row) -> tuple[list[str], str | None]:
@@ -157,7 +191,7 @@ class YamlTree(DataSource):
         if not {"law_dir", "art_dir", "record"} <= set(schema.names):
             raise ValueError("yaml_tree needs the columns law_dir, art_dir and record")
         kind = StructType.fromJson(json.loads(self.options["record"])) if "record" in self.options else schema["record"].dataType
-        return _YamlWriter(self.options["path"], self.options.get("file", "meta.yaml"), kind)
+        return _YamlWriter(self.options["path"], self.options.get("file", "meta.yaml"), kind, self.options.get("staging"))
 
 
 class TextTree(DataSource):
@@ -173,13 +207,30 @@ class TextTree(DataSource):
             raise ValueError("text_tree replaces single files: write it in mode append")
         if not {"path", "text"} <= set(schema.names):
             raise ValueError("text_tree needs the columns path and text")
-        return _TextWriter(self.options["path"])
+        return _TextWriter(self.options["path"], self.options.get("staging"))
+
+
+def _write_tree(rows: DataFrame, key: list[str], source: type[DataSource], root: str, **options: str) -> None:
+    """Writes files in two jobs: tasks stage them, and when all have succeeded, tasks move them into place."""
+    spark = rows.sparkSession
+    spark.dataSource.register(source)
+    staging = f"{root.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    writer = _TreeWriter(root, staging)
+    # the rows of a key meet in one task, which finds out if there are two; a number, as plans would bring small texts
+    # together in one task, though a file takes its time however small it is
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    try:
+        writer.begin()
+        dealt.write.format(source.name()).options(staging=staging, **options).mode("append").save(root)
+        if folders := writer.noted():
+            spark.sparkContext.parallelize(folders, len(folders)).foreach(writer.place)
+    finally:
+        writer.clear()
 
 
 def write_texts(rows: DataFrame, root: str) -> None:
     """Writes (path, text) below root; two texts for one path fail the job."""
-    rows.sparkSession.dataSource.register(TextTree)
-    rows.select("path", "text").repartition("path").write.format("text_tree").mode("append").save(root)
+    _write_tree(rows.select("path", "text"), ["path"], TextTree, root)
 
 
 def write_layer_files(layers: DataFrame, root: str) -> None:
@@ -208,8 +259,6 @@ def write_article_documents(articles: DataFrame, root: str) -> None:
 
 def write_records(records: DataFrame, root: str, file: str = "meta.yaml") -> None:
     """Writes (law_dir, art_dir, record) below root; two records for one directory fail the job."""
-    records.sparkSession.dataSource.register(YamlTree)
-    # the rows of a directory meet in one task, which finds out if there are two
     kind = records.schema["record"].dataType
-    rows = records.select("law_dir", "art_dir", _entries(F.col("record"), kind).alias("record")).repartition("law_dir", "art_dir")
-    rows.write.format("yaml_tree").options(file=file, record=kind.json()).mode("append").save(root)
+    rows = records.select("law_dir", "art_dir", _entries(F.col("record"), kind).alias("record"))
+    _write_tree(rows, ["law_dir", "art_dir"], YamlTree, root, file=file, record=kind.json())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LAWS
 from ..operators.inventory import LAYER
+from .tree import read_tree, yaml_json
 
 ARTICLE = f"law string, article int, article_suffix string, title string, sr_number string, absatz_count int, fedlex_url string, lexfind_id int, lexfind_url string, in_force_since string, layers map<string,{LAYER}>"
 CONCEPT = "type string, slug string, title string, provisions array<string>, confidence string, author_status string, tags array<string>, last_generated string, quality_score double"
@@ -23,27 +24,20 @@ def yaml_to_json(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:
-        import yaml
-
-        def one(text: str | None) -> str | None:
-            try:
-                got = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if text else None
-                return json.dumps(got, default=str) if isinstance(got, dict) else None
-            except yaml.YAMLError:
-                return None
-
-        return texts.map(one)
+        return texts.map(yaml_json)
 
     return convert.asNondeterministic()(c)
 
 
 def scan_records(spark: SparkSession, root: str, file: str = "meta.yaml", schema: str = ARTICLE) -> DataFrame:
     """law_dir, art_dir, path and the record (null if malformed) of each file of that name under root."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    parts = F.split(path, "/")
-    named = raw.select(F.element_at(parts, -3).alias("law_dir"), F.element_at(parts, -2).alias("art_dir"), path.alias("path"), "value")
-    return named.where(~F.col("law_dir").startswith(".")).withColumn("record", F.from_json(yaml_to_json(F.col("value")), schema)).drop("value")
+    named = read_tree(spark, root, file, yaml_json)
+    if named is None:
+        raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(root, wholetext=True)
+        named = raw.select(F.col("_metadata.file_path").alias("path"), yaml_to_json(F.col("value")).alias("value"))
+    parts = F.split("path", "/")
+    named = named.select(F.element_at(parts, -3).alias("law_dir"), F.element_at(parts, -2).alias("art_dir"), "path", "value")
+    return named.where(~F.col("law_dir").startswith(".")).withColumn("record", F.from_json("value", schema)).drop("value")
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:

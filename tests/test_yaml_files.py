@@ -105,3 +105,68 @@ def test_libyaml_writes_what_python_writes(monkeypatch):
     for t in ("Übergang", "x: y # z", "\U0001f600 smile", "null", "2026-01-01", "é" * 200, " a\tb "):
         assert to_yaml({"t": t}, kind) == real({"t": t}, default_flow_style=False, allow_unicode=True, sort_keys=False)
     assert not yaml.__with_libyaml__ or used.count(yaml.CDumper) == 7
+
+
+def test_tasks_list_the_tree(spark, tmp_path):
+    """A scan's plan holds no list of files, and finds what Spark's own reader finds, by the same paths."""
+    from lexloom.sources.content import yaml_to_json
+
+    kept = ["or/art-001/meta.yaml", "or/art 2%20ü#\u00a0[]/meta.yaml", "a/b/c/d/meta.yaml", "meta.yaml", "or/meta.yaml", "_x=1/a/meta.yaml", "or/empty/meta.yaml", "or/none/other.yaml", "or/bad/meta.yaml", "or/list/meta.yaml"]
+    for name in [*kept, ".git/a/meta.yaml", "_tmp/a/meta.yaml", "or/.hidden/meta.yaml", "or/_x/meta.yaml", "or/art-001/x.meta.yaml", "or/art-001/.meta.yaml.crc"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("a: [" if "/bad/" in name else "- 1\n" if "/list/" in name else "" if "/empty/" in name else f"title: '{name}'\n")
+    (tmp_path / "or/nothing").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.yaml").text(str(tmp_path), wholetext=True)
+    wanted = raw.select(F.col("_metadata.file_path").alias("path"), F.get_json_object(yaml_to_json(F.col("value")), "$.title").alias("title"))
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}", f"{tmp_path}/"):
+        got = scan_records(spark, root)
+        assert got.inputFiles() == []
+        assert sorted(map(str, got.select("path", "record.title").collect())) == sorted(map(str, wanted.collect()))
+        assert {(r.law_dir, r.art_dir) for r in got.collect()} >= {("or", "art-001"), ("c", "d"), ("_x=1", "a")}
+    assert scan_records(spark, str(tmp_path), "{meta,other}.yaml").where("art_dir = 'none'").count() == 1  # a pattern is Spark's to read
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan_records(spark, f"{tmp_path}/absent")
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "or/art-001").mkdir(parents=True)
+    (tmp_path / "or/art-001/meta.yaml").write_bytes(b"title: \xff\n")
+    assert [(r.art_dir, r.record) for r in scan_records(spark, str(tmp_path)).collect()] == [("art-001", None)]
+
+
+def test_files_are_staged_and_then_moved_by_tasks(spark, tmp_path):
+    """With a staging folder, commit moves nothing; a move goes on where it was stopped, and fails if a file is lost."""
+    from lexloom.sinks.yaml_files import _TextWriter
+
+    writer = _TextWriter(str(tmp_path), f"{tmp_path}/.staging-x")
+    writer.begin()
+    staged = writer.write(iter([{"path": f"or/art-{i}/a.md", "text": str(i)} for i in range(4)] + [{"path": "no", "text": None}]))
+    writer.commit([staged, None, writer.write(iter([]))])
+    assert staged.files == 4 and writer.noted() == [staged.folder] and not (tmp_path / "or").exists()
+    (tmp_path / "or/art-0").mkdir(parents=True)
+    os.rename(f"{staged.folder}/0", tmp_path / "or/art-0/a.md")
+    writer.place(staged.folder)
+    writer.place(staged.folder)
+    writer.clear()
+    assert [(tmp_path / f"or/art-{i}/a.md").read_text() for i in range(4)] == list("0123") and os.listdir(tmp_path) == ["or"]
+    with pytest.raises(OSError):  # a task that outlives its job makes no staging folder anew
+        writer.write(iter([{"path": "or/late.md", "text": "x"}]))
+    assert os.listdir(tmp_path) == ["or"]
+    writer.begin()
+    staged = writer.write(iter([{"path": "or/lost.md", "text": "x"}]))
+    os.remove(f"{staged.folder}/0")
+    with pytest.raises(OSError):
+        writer.place(staged.folder)
+
+
+def test_small_records_are_written_by_many_tasks(spark, tmp_path):
+    """Plans brought small records together in one task, however many files they are."""
+    done = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many-tasks", "")
+    try:
+        write_records(_articles(spark, 40), str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [done.getStageInfo(s).numTasks for j in done.getJobIdsForGroup("many-tasks") for s in done.getJobInfo(j).stageIds if done.getStageInfo(s)]
+    assert len(_files(tmp_path)) == 40 and tasks.count(4) >= 2 and not [x for x in os.listdir(tmp_path) if x.startswith(".")]
